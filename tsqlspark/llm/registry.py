@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
+
+
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -26,7 +33,26 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
+    "op6_fm_decontamination": op6_fm_decontamination,
     "op10_histogram_sharding": op10_histogram_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_fm_decontamination": f"""
+with d as (select doc_id, {WORDS} as w from documents),
+b as (select item_id, {WORDS} as w from benchmark),
+bw as (select distinct item_id, len(x) as k, x from (
+  select item_id, unnest(case when len(w) = 0 then [] when len(w) < 8 then [w] else list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7]) end) as x from b)),
+sizes as (select distinct k from bw),
+dw as (select doc_id, k, i, w[i:i + k - 1] as x from (
+  select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes)),
+hits as (select doc_id, item_id, i, dw.k as k from dw join bw on dw.k = bw.k and dw.x = bw.x),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) group by doc_id)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join n using (doc_id) left join t using (doc_id)""",
+}
