@@ -143,3 +143,19 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         few *= 2
     final = texts.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
     return signed.select("doc_id", "digest").join(final, "digest").select("doc_id", "class_id")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, the one with the smallest doc_id; same columns as ``docs``.
+
+    Of rows that share a doc_id one stays.  Rows with a null doc_id stay, one for each text that no other document has.
+    """
+    ids = near_duplicate_classes(docs, similarity).where("class_id is not null").select(F.col("class_id").alias("__kept")).distinct()
+    kept = docs.join(ids, docs["doc_id"].cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    unnamed = docs.where("doc_id is null")
+    if unnamed.limit(1).count():
+        text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+        others = docs.where("doc_id is not null").select(text.alias("__digest")).distinct()
+        rest = unnamed.withColumn("__own", text).join(others, F.col("__own") == F.col("__digest"), "left_anti").dropDuplicates(["__own"]).drop("__own")
+        kept = kept.unionByName(rest)
+    return kept
