@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, sharding
+from . import decontamination, mixing, near_dedup, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op6_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.classified(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality_score", "toxic_score", "keep")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_prob_minhash": op3_prob_minhash,
     "op5_source_mixing": op5_source_mixing,
     "op6_fm_decontamination": op6_fm_decontamination,
+    "op8_arc_to_warc": op8_arc_to_warc,
     "op9_co_training": op9_co_training,
     "op10_histogram_sharding": op10_histogram_sharding,
 }
@@ -66,4 +72,14 @@ t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_
 select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
 from d left join n using (doc_id) left join t using (doc_id)""",
+    "op8_arc_to_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as h from p),
+f as (select *, min(page_id) over (partition by h) as first from d)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 4 * 5 + 1)::int, 5))::int >> ((3 - i % 4) * 5)::int) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from f""",
 }
