@@ -97,24 +97,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(sized & (common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common))).select("a", "b")
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) for each row of ``docs`` (doc_id, text): class_id is the smallest doc_id of the row's class.
+def linked_roots(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, root): the smallest id of the class of each id that has a link.
 
-    Null texts are empty.  Equal texts are of one class; a text without words is like no different text; one with fewer
-    than five words has one shingle, of all of them.  Rows with a null doc_id get the class of an equal text, else null.
-    Rows that share a doc_id are one document.  Other columns are ignored; an empty table gives an empty result.
+    ``members`` (bucket, id) must be written and without repeats; ids of one bucket are compared by their ``sets``
+    (id, shingles), as the module's head says.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
-    signed = written(rows.mapInArrow(_signatures, "doc_id long, digest string, bands array<long>"), "signatures")
-    # a key of a third of all rows is reduced to one row by each task before the exchange
-    texts = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
-    placed = texts.where("id is not null").select("id", F.posexplode("bands").alias("band", "key"))
-    shared = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = written(placed.join(shared, ["band", "key"]).withColumn("bucket", F.xxhash64("band", "key")).select("bucket", "id", "n", "first"), "buckets")
-    involved = members.select("id").distinct()
-    of_ids = rows.join(texts.select("digest", "id").join(involved, "id").select(F.col("id").alias("doc_id"), F.col("digest")), ["doc_id", "digest"], "left_semi")
-    sets = written(of_ids.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    members = written(members.join(shared, "bucket"), "buckets")
     small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
     other = small.select("bucket", F.col("id").alias("b"))
     pairs = small.select("bucket", F.col("id").alias("a")).join(other, "bucket").where("a < b").select("a", "b")
@@ -128,12 +118,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         sizes = rooted.groupBy("bucket", "root").count()
         biggest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-        outside = rooted.join(biggest, "bucket").where("root <> top.root").join(compared, ["bucket", "id"], "left_anti")
+        outside = written(rooted.join(biggest, "bucket").where("root <> top.root").join(compared, ["bucket", "id"], "left_anti").select("bucket", "id", "root"), "outside")
+        if outside.limit(1).count() == 0:
+            return roots
         waiting = outside.groupBy("bucket").agg(F.count("*").alias("waiting"))
         chosen = outside.join(waiting, "bucket").where(F.pmod(F.xxhash64("id", F.lit(few)), F.lit(1 << 20)) * F.col("waiting") <= F.lit(few << 20)).select("bucket", "id", "root")
         chosen = written(chosen, "chosen")
-        if chosen.limit(1).count() == 0 and outside.limit(1).count() == 0:
-            break
         pairs = chosen.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx")).join(rooted.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry")), "bucket").where("rx <> ry")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         more = written(_verified(pairs, sets, similarity), "links")
@@ -141,6 +131,28 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         links = links.union(more)
         roots = components(links)
         few *= 2
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id) for each row of ``docs`` (doc_id, text): class_id is the smallest doc_id of the row's class.
+
+    Null texts are empty.  Equal texts are of one class; a text without words is like no different text; one with fewer
+    than five words has one shingle, of all of them.  Rows with a null doc_id get the class of an equal text, else null.
+    Rows that share a doc_id are one document.  Other columns are ignored; an empty table gives an empty result.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
+    signed = written(rows.mapInArrow(_signatures, "doc_id long, digest string, bands array<long>"), "signatures")
+    # a key of a third of all rows is reduced to one row by each task before the exchange
+    texts = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
+    placed = texts.where("id is not null").select("id", F.posexplode("bands").alias("band", "key"))
+    placed = placed.select(F.xxhash64("band", "key").alias("bucket"), "id").distinct()
+    shared = placed.groupBy("bucket").count().where("count > 1").select("bucket")
+    members = written(placed.join(shared, "bucket", "left_semi"), "members")
+    involved = texts.join(members.select("id").distinct(), "id").select(F.col("id").alias("doc_id"), "digest")
+    found = rows.join(involved, ["doc_id", "digest"], "left_semi")
+    sets = written(found.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
+    roots = linked_roots(members, sets, similarity)
     final = texts.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
     return signed.select("doc_id", "digest").join(final, "digest").select("doc_id", "class_id")
 
