@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,7 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    # the shuffle files of this write are of no use once it is done
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

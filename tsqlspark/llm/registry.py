@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, licenses, mixing, near_dedup, quality, sharding, warc
+from . import decontamination, fingerprints, licenses, mixing, near_dedup, quality, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -56,6 +60,7 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_prob_minhash": op3_prob_minhash,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_source_mixing": op5_source_mixing,
     "op6_fm_decontamination": op6_fm_decontamination,
     "op7_spotsigs": op7_spotsigs,
