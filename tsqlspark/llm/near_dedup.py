@@ -7,9 +7,10 @@ probability equal to the probability Jaccard similarity of the texts.  Signature
 verified by the Jaccard similarity of their shingle sets, and classes are the connected components of the links.
 
 Exact copies are reduced to one text first.  A bucket of up to ``SMALL`` texts is compared pair by pair.  In a larger one
-every text is compared with the smallest, then, round by round, with texts that are still outside the bucket's largest
-class; a bucket is finished when of any two of its classes one has been compared with all the bucket.  So no link
-between classes is missed that the buckets hold, and a group of thousands of near copies costs a few comparisons a text.
+every text is compared with the smallest; then every text outside the bucket's largest class is compared with the whole
+bucket, block against block within a task, and only links come out.  So of any two classes of a bucket at least one has
+been compared with all of it: no link between classes is missed that the buckets hold, no pairs are emitted, and a group
+of thousands of near copies costs about one comparison a text.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a bucket with probability 1 - (1 - 0.8^4)^16 = 0.9998.
 BANDS, ROWS = 16, 4
 SMALL = 8
-#: Texts a large bucket compares with all its others in the second round; doubled each round.
-FEW = 2
+#: Texts outside a large bucket's largest class, and texts of the bucket, that one task compares.
+OUTSIDERS, OTHERS = 256, 2048
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,26 +112,53 @@ def linked_roots(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     pairs = pairs.union(large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))).distinct()
     links = written(_verified(pairs, sets, similarity), "links")
     roots = components(links)
-    compared = large.select("bucket", F.col("first").alias("id")).distinct()
-    few = FEW
-    large = written(large.select("bucket", "id"), "large")
-    while True:
-        rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        sizes = rooted.groupBy("bucket", "root").count()
-        biggest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-        outside = written(rooted.join(biggest, "bucket").where("root <> top.root").join(compared, ["bucket", "id"], "left_anti").select("bucket", "id", "root"), "outside")
-        if outside.limit(1).count() == 0:
-            return roots
-        waiting = outside.groupBy("bucket").agg(F.count("*").alias("waiting"))
-        chosen = outside.join(waiting, "bucket").where(F.pmod(F.xxhash64("id", F.lit(few)), F.lit(1 << 20)) * F.col("waiting") <= F.lit(few << 20)).select("bucket", "id", "root")
-        chosen = written(chosen, "chosen")
-        pairs = chosen.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx")).join(rooted.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry")), "bucket").where("rx <> ry")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = written(_verified(pairs, sets, similarity), "links")
-        compared = written(compared.union(chosen.select("bucket", "id")), "compared")
-        links = links.union(more)
-        roots = components(links)
-        few *= 2
+    rooted = written(large.join(roots, "id", "left").select("bucket", "id", "n", "first", F.coalesce("root", "id").alias("root")), "rooted")
+    sizes = rooted.groupBy("bucket", "root").count()
+    biggest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "top")
+    outside = written(rooted.join(biggest, "bucket").where("root <> top and id <> first").select("bucket", "id", "root", "n"), "outside")
+    if outside.limit(1).count() == 0:
+        return roots
+    parts = outside.groupBy("bucket").agg(F.ceil(F.count("*") / OUTSIDERS).alias("os"), F.ceil(F.first("n") / OTHERS).alias("ms"))
+    part = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
+    few = outside.join(parts, "bucket").withColumn("o", part(1, "os")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ms") - 1)))
+    many = rooted.join(parts, "bucket").withColumn("m", part(2, "ms")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1)))
+    block = F.xxhash64("bucket", "o", "m").alias("block")
+    rows = few.select(block, F.lit(True).alias("outside"), "id", "root").union(many.select(block, F.lit(False), "id", "root")).join(sets, "id")
+
+    def crossed(table: pa.Table) -> pa.Table:
+        return _across(table, similarity)
+
+    more = rows.select("block", "outside", "id", "root", "shingles").groupBy("block").applyInArrow(crossed, "a long, b long").distinct()
+    return components(links.union(written(more, "links")))
+
+
+def _across(table: pa.Table, similarity: float) -> pa.Table:
+    """Links between the outsiders and the other texts of a block: for each outsider one for each class it is linked to."""
+    out = table.column("outside").to_numpy().astype(bool)
+    ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(ends)
+    links = []
+    left, right = np.flatnonzero(out), np.flatnonzero(~out)
+    for lo in range(0, len(left), 64):
+        some = left[lo : lo + 64]
+        known, place = np.unique(np.concatenate([values[ends[i] : ends[i + 1]] for i in some]), return_inverse=True)
+        has = np.zeros((len(known) + 1, len(some)), np.int32)
+        has[place, np.repeat(np.arange(len(some)), sizes[some])] = 1
+        for at in range(0, len(right), 64):
+            others = right[at : at + 64]
+            theirs = np.concatenate([values[ends[i] : ends[i + 1]] for i in others])
+            found = np.minimum(np.searchsorted(known, theirs), len(known) - 1)
+            found[known[found] != theirs] = len(known)
+            starts = np.concatenate(([0], np.cumsum(sizes[others])[:-1]))
+            common = np.add.reduceat(has[found], starts, axis=0)
+            j, i = np.nonzero((common >= similarity * (sizes[others][:, None] + sizes[some][None, :] - common)) & (roots[others][:, None] != roots[some][None, :]))
+            links += [(ids[some[x]], ids[others[y]], roots[others[y]]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    one = {(a, root): b for a, b, root in reversed(links)}
+    return pa.table({"a": pa.array([int(a) for a, _ in one], pa.int64()), "b": pa.array([int(b) for b in one.values()], pa.int64())})
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
