@@ -176,7 +176,9 @@ class Parser:
             if self.at("TABLE"):
                 raise TsqlError(50000, "Table variables are not implemented.")
             kind = self.type_name()
-            items.append((var.text, kind, self.expr() if self.op("=") else None))
+            value = self.expr() if self.op("=") else None
+            self.accept("OUTPUT") or self.accept("OUT")  # in a parameter list
+            items.append((var.text, kind, value))
             if not self.op(","):
                 return Node("declare", items=items)
 
@@ -341,8 +343,7 @@ class Parser:
             table = self.dotted()
             columns = self.key_columns()
             include = self.names() if self.accept("INCLUDE") else []
-            if self.accept("WITH"):
-                self.skip_parens()
+            self.storage()
             return Node("create_index", name=name, table=table, columns=columns, unique=unique, clustered=clustered, include=include)
         if self.accept("DATABASE"):
             return Node("create_database", name=self.name())
@@ -361,6 +362,19 @@ class Parser:
             if t.kind == "eof":
                 self.fail()
 
+    def storage(self) -> None:
+        """Options of where and how an index or table is kept: read and passed over."""
+        while True:
+            if self.at("WITH") and self.is_op("(", 1):
+                self.i += 1
+                self.skip_parens()
+            elif self.now.word in ("ON", "TEXTIMAGE_ON") and self.peek().kind in ("qid",):
+                self.i += 2
+                if self.is_op("("):
+                    self.skip_parens()
+            else:
+                return
+
     def key_columns(self) -> list[tuple[str, bool]]:
         self.need("(")
         out = []
@@ -393,6 +407,7 @@ class Parser:
             if not self.op(","):
                 break
         self.need(")")
+        self.storage()
         return Node("create_table", table=table, columns=columns, constraints=constraints)
 
     def column(self) -> tuple[Node, list[Node]]:
@@ -443,6 +458,7 @@ class Parser:
         if kind:
             self.accept("CLUSTERED") or self.accept("NONCLUSTERED")
             columns = self.key_columns() if self.is_op("(") else [(column, False)]
+            self.storage()
             return Node(kind, name=name, columns=columns)
         if self.accept("FOREIGN", "KEY"):
             own = self.names() if self.is_op("(") else [column]

@@ -132,7 +132,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
 
 #: Queries under a case-insensitive collation.
 INSENSITIVE: dict[str, tuple[str, str]] = {
-    "collate_ci_group": ("SELECT COUNT(*) AS n, MIN(LOWER(g.k)) AS k FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN LOWER(o_orderpriority) ELSE o_orderpriority + ' ' END AS k FROM orders) g GROUP BY g.k COLLATE Latin1_General_CI_AS", "SELECT count(*)::int AS n, lower(o_orderpriority) AS k FROM orders GROUP BY lower(o_orderpriority)"),
+    "collate_ci_group": ("SELECT COUNT(*) AS n, MIN(LOWER(RTRIM(g.k))) AS k FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN LOWER(o_orderpriority) ELSE o_orderpriority + ' ' END AS k FROM orders) g GROUP BY g.k COLLATE Latin1_General_CI_AS", "SELECT count(*)::int AS n, lower(o_orderpriority) AS k FROM orders GROUP BY lower(o_orderpriority)"),
     "collate_ci_compare": ("SELECT n_nationkey FROM nation WHERE n_name = LOWER(n_name) + '  ' AND n_name LIKE 'nation_[0-4]%'", None),
     "collate_cs": ("SELECT n_nationkey FROM nation WHERE n_name COLLATE Latin1_General_CS_AS = LOWER(n_name)", "SELECT n_nationkey FROM nation WHERE n_name = lower(n_name)"),
 }

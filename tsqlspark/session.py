@@ -78,23 +78,19 @@ class TsqlSession:
         self.serial += 1
         name = f"v{id(self) % 10**8}_{self.serial}"
         df.createOrReplaceTempView(name)
-        # a view of a frame of another session is made anew in this one
-        if not self.spark.catalog.tableExists(name):
-            DataFrame(df._jdf, self.spark).createOrReplaceTempView(name)
         return name
 
     def register(self, name: str, df: DataFrame, types: dict[str, SqlType] | None = None) -> None:
         """Make a frame, of files or a stream, a table of the current database."""
         schema, _, bare = name.rpartition(".")
         columns = tuple(Column(f.name, (types or {}).get(f.name) or ty.from_spark(f.dataType), f.nullable) for f in df.schema)
-        self.spark.conf.set("spark.sql.ansi.enabled", "true")
         local = self._own(df)
         table = Table(schema or "dbo", bare, self.catalog.next_id(), columns, local, self.new_view(local))
         self.tables[table.key] = table
 
     def _own(self, df: DataFrame) -> DataFrame:
         """The same plan under this session, so that this session's settings hold for it."""
-        if df.sparkSession is self.spark or df.isStreaming:
+        if df.sparkSession is self.spark:
             return df
         jdf = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().logical())
         return DataFrame(jdf, self.spark)
