@@ -1,0 +1,362 @@
+"""The corpus operators against brute force on small fixtures with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tsqlspark.llm import common, decontamination, fingerprints, licenses, mixing, near_dedup, pii, quality, repeats, sharding, warc
+from tsqlspark.llm.registry import ORACLE_SQL, QUERIES
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, source string, n_words long, spans string"
+
+
+def low(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def words(t):
+    return WORD.findall(low(t))
+
+
+def prose(seed, n):
+    r = np.random.default_rng(seed)
+    return " ".join("".join(r.choice(list("abcdeilnorstué"), r.integers(2, 8))) for _ in range(n))
+
+
+LONG = prose(1, 4000)
+PASSAGE = prose(2, 60)
+BASE = prose(3, 120)
+
+
+def near(k):
+    """A copy of BASE with one word changed."""
+    w = BASE.split()
+    w[(k * 7) % len(w)] = f"changed{k}"
+    return " ".join(w)
+
+
+TEXTS = [
+    None, "", "one", "One TWO three", LONG, LONG, BASE, BASE, *[near(k) for k in range(1, 14)], f"{prose(4, 30)} {PASSAGE} {prose(5, 30)}", f"{prose(6, 40)}\n{PASSAGE}", prose(7, 50), "!!! ???", "é" * 40, "x" * 60, "y" + "x" * 60,
+    "mail a@b.co, b@c.org_x@d.net or call +1 (743) 555-3824 from 10.0.0.256 and 10.1.2.3.4, card 4111 1111 1111 1111 or 4111111111111112",
+    "Released under the MIT License. GNU  General-Public License; licensed under CC BY-NC 4.0 by mit license",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "red " + "for " * 9000 + "house of cards in the green field", "1" * 9000, "a@" * 3000 + "b.c" * 3000,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, [None, "b", "a", "c"][i % 4], 7, "clash") for i, t in enumerate(TEXTS)]
+    rows += [rows[6], (None, "no id", "a", 1, "x"), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_word_scan():
+    import pyarrow as pa
+
+    texts = ["", "A b-c", None, "äö xX9 " * 3, "z" * 9000, " ", "z" * 9000 + "q"]
+    got = []
+    for lo, hi, data, bounds in common.chunks(pa.array(texts), 64):
+        starts, ends, hashes, first = common.scan_words(data, bounds)
+        lowered = bytes(common._LOWER[data])
+        for i in range(hi - lo):
+            got.append([(lowered[starts[k] : ends[k]].decode(), int(hashes[k])) for k in range(first[i], first[i + 1])])
+    assert [[w for w, _ in x] for x in got] == [words(t) for t in texts]
+    seen = {}
+    for w, h in (p for x in got for p in x):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_mixing(docs, empty):
+    assert mixing.mix(empty).count() == 0
+    rows = mixing.mix(docs).collect()
+    assert rows == mixing.mix(docs).collect() or sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+    size = Counter()
+    for r in rows:
+        size[r.source] += r.size
+    assert len(rows) == docs.count()
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    # water filling by hand
+    goal, open_, target = 1.5 * sum(size.values()), set(order), {}
+    while True:
+        level = (goal - sum(2 * size[s] for s in order if s not in open_)) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] >= 2 * size[s]}
+        if not over:
+            break
+        open_ -= over
+    for r in rows:
+        want = 2 * size[r.source] if r.source not in open_ else level * weight[r.source]
+        assert r.target == pytest.approx(want) and r.source_size == size[r.source] and r.copies in (0, 1, 2)
+    assert mixing.mixed_documents(docs.where("doc_id is not null")).columns == docs.columns
+
+
+def test_sharding(docs, empty):
+    assert sharding.shard(empty).count() == 0
+    rows = sharding.shard(docs, 3).collect()
+    assert len(rows) == docs.count()
+    texts = {i: t for i, t in enumerate(TEXTS)}
+    for r in rows:
+        if r.doc_id is not None:
+            b = (texts[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32) == (len(b) + 1, zlib.crc32(b))
+    for k in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == k)
+        assert slots == list(range(len(slots)))
+    full = sharding.sharded_documents(docs, 3)
+    assert full.columns == [*docs.columns, "shard", "slot"] and full.count() == docs.count()
+
+
+def test_sharding_cuts_a_hot_group(spark):
+    rows = [(i, "same" if i % 2 else f"text {i} " + "x" * (i % 90)) for i in range(3000)]
+    size = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect():
+        size[r.shard] += r.size
+    assert len(size) == 8 and max(size.values()) < 1.02 * sum(size.values()) / 8
+
+
+def test_decontamination(spark, docs, empty):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "one two THREE"), (3, None), (None, "x y"), (4, " ".join(words(PASSAGE)[:20])), (10, "!"), (4, "zz zz")], "item_id long, text string")
+    assert decontamination.contamination(empty, bench).count() == 0
+    nothing = decontamination.contamination(docs, bench.limit(0)).collect()
+    assert all(r["n_hit"] == 0 for r in nothing)
+    windows = {}
+    for i, t in [(1, PASSAGE), (2, "one two THREE"), (4, " ".join(words(PASSAGE)[:20])), (4, "zz zz")]:
+        w = words(t)
+        for k in range(max(1, len(w) - 7)):
+            windows.setdefault(tuple(w[k : k + 8]), set()).add(i)
+    for block in (1 << 25, 64):
+        got = decontamination.contamination(docs, bench, block_bytes=block).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            w, items, hit = words(r.text), set(), set()
+            for k in range(len(w)):
+                for x, ids in windows.items():
+                    if tuple(w[k : k + len(x)]) == x:
+                        items |= ids
+                        hit |= set(range(k, k + len(x)))
+            assert (r["n_words"], r["n_hit"], sorted(r["items"])) == (len(w), len(hit), sorted(items))
+    numbered = docs.where("doc_id is not null").withColumn("n_chars", F.length("text").cast("long"))
+    cut = {r.doc_id: r.text for r in decontamination.decontaminated(numbered, bench, most_items=2).collect()}
+    assert PASSAGE not in cut[21] and cut[21].startswith(prose(4, 30)) and cut[23] == TEXTS[23]
+
+
+def test_fm_index():
+    r = np.random.default_rng(5)
+    text = np.append(r.integers(1, 5, 4000), 0)
+    index = decontamination.FMIndex(text, 5)
+    for k in (1, 3, 8):
+        patterns = r.integers(1, 5, (40, k))
+        lo, hi = index.search(patterns)
+        for p, a, b in zip(patterns, lo, hi, strict=True):
+            at = [i for i in range(len(text) - k + 1) if (text[i : i + k] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == at
+
+
+def shingles(t):
+    w = words(t)
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates(docs, empty):
+    assert near_dedup.near_duplicate_classes(empty).count() == 0
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect() if r.doc_id is not None}
+    sets = [shingles(t) for t in TEXTS]
+    parent = list(range(len(TEXTS)))
+    for i in range(len(TEXTS)):
+        for j in range(i):
+            same = (TEXTS[i] or "") == (TEXTS[j] or "")
+            if same or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    assert got == dict(enumerate(parent))
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(parent))
+
+
+def test_large_buckets(spark, monkeypatch):
+    """A chain of neighbours that are alike, in buckets compared block against block."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    w = prose(9, 300).split()
+    rows = [(k, " ".join([f"n{j}" for j in range(k)] + w[k:])) for k in range(0, 120, 6)]
+    got = {r.class_id for r in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
+
+
+def test_prob_min_hash():
+    import pyarrow as pa
+
+    (_, _, data, bounds), = common.chunks(pa.array([BASE, near(1), prose(8, 120)]))
+    h, d, c = near_dedup.shingle_sets(data, bounds, 5)
+    sig = near_dedup.prob_min_hash(h, d, 1 + np.log(c), 3, 512)
+    a, b = shingles(BASE), shingles(near(1))
+    assert abs((sig[0] == sig[1]).mean() - len(a & b) / len(a | b)) < 0.08
+    assert (sig[0] == sig[2]).mean() == 0
+
+
+def test_repeats(docs, empty):
+    assert repeats.repeated_spans(empty).count() == 0
+    got = {}
+    for r in repeats.repeated_spans(docs).collect():
+        if r.doc_id is not None:
+            got.setdefault(r.doc_id, set()).add((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    seen = set()
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        hit = bytearray(len(b))
+        own = {b[k : k + 50] for k in range(len(b) - 49)}
+        for k in range(len(b) - 49):
+            if b[k : k + 50] in seen:
+                hit[k : k + 50] = b"\1" * 50
+        seen |= own
+        kept = bytes(x for x, c in zip(b, hit, strict=True) if not c)
+        runs = sum(1 for k in range(len(hit)) if hit[k] and (k == 0 or not hit[k - 1]))
+        assert got[i] == {(len(b), sum(hit), runs, hashlib.sha256(kept).hexdigest())}, i
+
+
+def test_fingerprints(spark, docs, empty):
+    assert fingerprints.fingerprints(empty).count() == 0
+    rows = [r for r in fingerprints.fingerprints(docs).collect()]
+    assert len(rows) == docs.count()
+    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        n = len(t)
+        want[(i, n, hashlib.sha256((t[: n - n // 3] + nxt[: n // 3]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == want
+    prints = {}
+    for r in rows:
+        if r.doc_id is not None:
+            assert prints.setdefault(TEXTS[r.doc_id] or "", r.fingerprint) == r.fingerprint
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    english = spark.createDataFrame([(k, f"the cat {k} of red house and the dog {k} is on a green tree in the big town {k} by my old car " * 2) for k in range(3)], "doc_id long, text string")
+    assert fingerprints.near_duplicate_classes(english).count() == 3
+
+
+def test_licenses(docs, empty):
+    assert licenses.scan(empty).count() == 0
+    rows = {r.doc_id: r for r in licenses.scan(docs).collect() if r.doc_id is not None}
+    for i, t in enumerate(TEXTS):
+        w, at, labels = words(t), [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split()
+            found = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            at += found
+            labels |= {label} if found else set()
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert "cc-by-nc" in rows[29].labels.split(",") and rows[30].labels == "agpl"
+
+
+def test_pii(spark, docs, empty):
+    models = pii.fitted(spark)
+    assert pii.scan(empty, models).count() == 0
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def valid(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        luhn = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+        return kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m.split(".")) or kind == "card" and 14 <= len(d) <= 19 and luhn or kind == "phone" and 10 <= len(d) <= 15
+
+    for r in pii.scan(docs, models).collect():
+        if r.doc_id is None:
+            continue
+        spans, counts = [], []
+        for rank, (kind, p) in enumerate(patterns.items()):
+            found = [m for m in re.finditer(p, TEXTS[r.doc_id] or "") if valid(kind, m[0])]
+            counts.append(len(found))
+            spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in found]
+        names = [s[2] for s in sorted(spans)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert set(names) <= set(r.spans.split(",")) | {""}
+    hard = spark.createDataFrame([(1, "call me on (743) 555-3824 please", "x"), (2, "version 1.2.3.4000 of page 12-34-5678", "x"), (3, "write to ann.lee (at) mail (dot) org now", "x")], "doc_id long, text string, other string")
+    out = {r.doc_id: r.text for r in pii.redacted(hard, models).collect()}
+    assert out[1] == "call me on [PHONE] please" and "[EMAIL]" in out[3] and out[2] == "version 1.2.3.4000 of page 12-34-5678"
+
+
+def test_pii_held_out_accuracy(spark):
+    """The trees on snippets they have not seen."""
+    models = pii.fitted(spark)
+    made = pii.examples(900)[-800:]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(made)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.scan(df, models).collect()}
+    right = wrong = missed = 0
+    for i, (kind, _, label) in enumerate(made):
+        hit = any(s.startswith(f"{kind}:") for s in found[i].split(",")) if found[i] else False
+        right += hit and label
+        wrong += hit and not label
+        missed += label and not hit
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.6
+
+
+def test_quality(spark):
+    r = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(400):
+        text = prose(100 + i, int(r.integers(20, 80)))
+        good, toxic = i % 3 != 0, i % 5 == 0
+        if not good:
+            text = text.upper().replace(" ", "!! ")
+        if toxic:
+            text += " " + r.choice(["idiot", "moron", "trash"]) + " " + prose(900 + i, 5)
+        rows.append((i, text, "en", f"s{i % 4}", 5))
+        if i % 2:
+            labels.append((i, int(good), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, keep int").union(spark.createDataFrame([(None, None, None, None, None)], "doc_id long, text string, lang string, source string, keep int"))
+    out = quality.classified(df, spark.createDataFrame([*labels, (None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")).where("doc_id is not null").collect()
+    held = [x for x in out if x.doc_id % 2 == 0]
+    assert np.mean([(x.quality_score >= 0.5) == (x.doc_id % 3 != 0) for x in held]) > 0.95
+    assert np.mean([(x.toxic_score >= 0.5) == (x.doc_id % 5 == 0) for x in held]) > 0.9
+    assert quality.classified(df.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_warc(spark):
+    html = "<p>WARC/1.1\r\n\r\nx\r\n\r\n</p>"
+    rows = [(3, "http://a b/é", html), (1, "http://x", html), (2, None, None), (4, "u", ""), (None, "v", html), (5, "w", "é" * 5000), (5, "w", "é" * 5000)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, content string")
+    got = sorted(warc.archive_pages(pages).collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
+    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "revisit", 2), (5, "response", None), (5, "response", None), (None, "revisit", 1)]
+    assert got[0].payload_digest == warc.base32_sha1(html.encode()) and got[0].payload_bytes == len(html.encode()) == got[2].payload_bytes
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_parser(version):
+    parts = [warc.arc_version_block(version, "a.arc"), warc.arc_record(version, "a.arc", "http://x y", 7, "<p>\n\nhéllo</p>", 9), warc.arc_record(version, "a.arc", None, None, "", 99)]
+    data = "\n".join(parts).encode() + b"\n"
+    got = list(warc.parse_arc(data))
+    assert [f["URL"] for f, _ in got] == ["filedesc://a.arc", "http://x%20y", "-"]
+    assert warc.split_http(got[1][1])[2].decode() == "<p>\n\nhéllo</p>"
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data[:-20]))
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(b"http://x 1 2 3 4\nabcd"))
+    record = warc.warc_record(*got[1], None, False)
+    (fields, block), = warc.parse_warc(record + b"\r\n\r\n")
+    assert fields["warc-date"] == "1997-08-01T00:00:00Z" and block == got[1][1]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
+    roots = {r.id: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert roots == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_registry():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)

@@ -58,7 +58,7 @@ def signatures(text: Column) -> Column:
     spots = F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1))
     # of a text with few spots, every chain of content words counts too
     spots = F.when(F.size(spots) < FEW_SPOTS, F.concat(spots, F.regexp_extract_all(plain, F.lit(CHAINS), F.lit(1)))).otherwise(spots)
-    hashed = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, f" (?:{ANCHOR} )+", " ")))
+    hashed = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, f" (?:{ANCHOR} )++", " ")))
     whole = F.hash(F.when(F.trim(plain) == "", text).otherwise(plain))
     return F.sort_array(F.array_distinct(F.when(F.size(hashed) > 0, hashed).otherwise(F.array(whole))))
 

@@ -32,7 +32,7 @@ CANDIDATE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]{1,64}+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]{1,64}+)*+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,4}(?:(?: ?\. ?|\[\.\])[0-9]{1,4}){3}|(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,18}+(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.])(?:00)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./)-]{1,2}[0-9]{2,5}){2,4}+(?![0-9.])",
+    "phone": r"(?<![0-9A-Za-z.])(?:00)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./)-]{1,2}[0-9]{2,5}){2,4}+(?![0-9]|\.[0-9])",
 }
 #: Words before a candidate that speak for its kind, and words that speak against any.
 FOR = {
@@ -227,7 +227,7 @@ def examples(n: int = EXAMPLES) -> list[tuple[str, str, int]]:
 
 def fitted(spark: SparkSession, n: int = EXAMPLES) -> dict[str, Trees]:
     """The trees of each kind."""
-    snippets = json.dumps([{"kind": k, "text": t, "label": y, "fold": i % 4} for i, (k, t, y) in enumerate(examples(n))])
+    snippets = json.dumps([{"kind": k, "text": t, "label": y, "fold": i // len(KINDS) % 4} for i, (k, t, y) in enumerate(examples(n))])
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(snippets), "array<struct<kind:string,text:string,label:int,fold:int>>")).alias("x")).select("x.*")
     models = {}
     for kind in KINDS:
@@ -249,6 +249,16 @@ def _as_span(rank: int, added: bool):
     return lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), x["e"].alias("e"), F.lit(added).alias("added"))
 
 
+def _apart(model: Trees):
+    """Candidates that the model chooses and that overlap no base match."""
+
+    def test(c: Column) -> Column:
+        overlaps = [F.exists(f"base_{k}", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])) for k in KINDS]
+        return model.chooses(c) & ~(overlaps[0] | overlaps[1] | overlaps[2] | overlaps[3])
+
+    return test
+
+
 def find(docs: DataFrame, models: dict[str, Trees] | None = None) -> DataFrame:
     """``docs`` (all columns) with base_email, base_ip, base_card, base_phone and found.
 
@@ -277,7 +287,7 @@ def find(docs: DataFrame, models: dict[str, Trees] | None = None) -> DataFrame:
     for rank, k in enumerate(KINDS):
         parts.append(F.transform(f"base_{k}", _as_span(rank, False)))
         if models[k].threshold < math.inf:
-            chosen = F.filter(f"__z_{k}", models[k].chooses)
+            chosen = F.filter(f"__z_{k}", _apart(models[k]))
             parts.append(F.coalesce(F.transform(chosen, _as_span(rank, True)), F.expr("cast(array() as array<struct<s:int,rank:int,kind:string,e:int,added:boolean>>)")))
     return rows.select(*keep, *new, F.array_sort(F.concat(*parts)).alias("found"))
 

@@ -196,6 +196,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
                 http, _, payload = split_http(content)
                 info = fields["URL"].startswith("filedesc:")
                 rows.append((None if info else hashlib.sha1(payload).hexdigest(), int(http["x-page-id"]) if "x-page-id" in http else None, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], content))
+            if not rows:  # an archive of nothing
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["digest", "page", "url", "ip", "date", "mime", "content"])
 
     parsed = _archives(spark, arc_path).mapInArrow(records, "digest string, page long, url string, ip string, date string, mime string, content binary")
