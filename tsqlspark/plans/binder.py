@@ -382,9 +382,10 @@ class Binder:
             x = v(e.value)
             t = self.common([x, Bound("", cols[0][1])])
             a = self.fresh()
-            if cols[0][1] != t:
-                sql = f"SELECT {self.to(Bound(f'{a}.c1', cols[0][1]), t).sql} FROM ({sql}) {a}"
-            return f"({self.to(x, t).sql} {'NOT ' if e.negated else ''}IN ({sql}))"
+            theirs = self.collated(self.to(Bound(f"{a}.c1", cols[0][1], collation=x.collation), t))
+            if theirs.sql != f"{a}.c1":
+                sql = f"SELECT {theirs.sql} FROM ({sql}) {a}"
+            return f"({self.collated(self.to(x, t)).sql} {'NOT ' if e.negated else ''}IN ({sql}))"
         if e.kind == "quantified":
             return self.quantified(e, scope, group)
         raise TsqlError(4145, "An expression of non-boolean type specified in a context where a condition is expected.")
