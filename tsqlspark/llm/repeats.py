@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mix64, text_buffers, written
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes that are hashed at a time, and bytes of stretches that one suffix array holds.
 CHUNK, STRETCHES = 1 << 18, 1 << 21
@@ -45,11 +45,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS = [_powers(_BASE, CHUNK + 1), _powers(pow(_BASE, -1, 2**64), CHUNK + 1)]
 
 
-def minimizers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window within one text, in order: start byte, minimizer, and text."""
+def minimizers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window within one text, in order: start byte, minimizer, and text.  Last the running sums of all bytes."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
     if n >= len(_POWERS[0]):
         _POWERS[:] = [_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1)]
     sums = np.zeros(n + 1, np.uint64)
@@ -67,14 +67,14 @@ def minimizers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     text = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     starts = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes) + bounds[text]
-    return starts, low[starts], text
+    return starts, low[starts], text, sums
 
 
 def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (minimizer, row) pairs of a column of texts, by minimizer."""
     keys, rows = [], []
     for lo, _, data, bounds in chunks(column, CHUNK):
-        _, low, text = minimizers(data, bounds)
+        _, low, text, _ = minimizers(data, bounds)
         if not len(low):
             continue
         new = np.ones(len(low), dtype=bool)
@@ -157,38 +157,60 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, t, text, keys): the stretches of windows around the given minimizers."""
+    """From (doc_id, t, text, keys): the stretches of windows around the given minimizers.
+
+    Of the equal stretches of a batch the first has the bytes, and the smallest and largest document of them all.
+    """
     for batch in batches:
         lists = batch.column(3)
         list_ends = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+        found, texts = [], []
         for lo, hi, data, bounds in chunks(batch.column(2), CHUNK):
-            starts, low, text = minimizers(data, bounds)
+            starts, low, text, sums = minimizers(data, bounds)
             own = values[list_ends[lo] : list_ends[hi]]
             owner = np.repeat(np.arange(hi - lo), np.diff(list_ends[lo : hi + 1]))
             if not len(starts) or not len(own):
                 continue
             salt = mix64(np.arange(hi - lo, dtype=np.uint64))
             wanted = np.unique(own ^ salt[owner])
-            asked = (low & ~_LOW) ^ salt[text]
-            at = np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)
-            hit = wanted[at] == asked
             edge = np.ones(len(low) + 1, dtype=bool)
             edge[1:-1] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
             cuts = np.flatnonzero(edge)
             first, last = cuts[:-1], cuts[1:] - 1
-            keep = hit[first]
+            asked = (low[first] & ~_LOW) ^ salt[text[first]]
+            at = np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)
+            keep = wanted[at] == asked
             first, last = first[keep], last[keep]
             if not len(first):
                 continue
             begin, end = starts[first], starts[last] + LENGTH
             of = text[first]
-            raw = data.tobytes()
-            pieces = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of + lo)), batch.column(1).take(pa.array(of + lo)), pa.array((begin - bounds[of]).astype(np.int32)), pa.array((low[first] & ~_LOW).view(np.int64)), pa.array(pieces, pa.binary())],
-                names=["doc_id", "t", "at", "key", "piece"],
-            )
+            piece = mix64((sums[end] - sums[begin]) * _POWERS[1][begin] + (end - begin).astype(np.uint64))
+            found.append((of + lo, begin - bounds[of], low[first] & ~_LOW, piece, begin, end, np.full(len(of), len(texts))))
+            texts.append(data)
+        if not found:
+            continue
+        row, at, key, piece, begin, end, part = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = ids[row]
+        order = np.lexsort((doc, piece, key))
+        new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (piece[order][1:] != piece[order][:-1])))
+        heads = np.flatnonzero(new)
+        carrier = order[heads]
+        low_doc, high_doc = doc[carrier], doc[order[np.append(heads[1:], len(order)) - 1]]
+        lows, highs = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        lows[carrier], highs[carrier] = low_doc, high_doc
+        carries = np.zeros(len(row), dtype=bool)
+        carries[carrier] = True
+        pieces = [texts[p][a:b].tobytes() if c else None for p, a, b, c in zip(part.tolist(), begin.tolist(), end.tolist(), carries.tolist(), strict=True)]
+        columns = [
+            batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)),
+            pa.array(lows, mask=~carries), pa.array(highs, mask=~carries), pa.array(pieces, pa.binary()),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "at", "key", "piece_id", "low", "high", "piece"])
+        for lo in range(0, len(row), 1 << 15):
+            yield whole.slice(lo, 1 << 15)
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,10 +343,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = asked.repartition(n, "bucket").mapInArrow(_answered, "doc_id long, t long, key long")
     keys = written(shared.groupBy("doc_id", "t").agg(F.collect_list("key").alias("keys")), "minimizers")
     flagged = rows.join(keys.join(copies, ["doc_id", "t"], "left_anti"), ["doc_id", "t"])
-    pieces = flagged.select("doc_id", "t", "text", "keys").mapInArrow(_stretches, "doc_id long, t long, at int, key long, piece binary")
-    pieces = written(pieces.withColumn("piece_id", F.xxhash64("piece")), "pieces")
-    distinct = pieces.groupBy("key", "piece_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("piece").alias("piece"))
-    found = distinct.select("key", "piece_id", "low", "high", "piece").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_resolved, "key long, piece_id long, a int, b int, first long")
+    pieces = flagged.select("doc_id", "t", "text", "keys").mapInArrow(_stretches, "doc_id long, t long, at int, key long, piece_id long, low long, high long, piece binary")
+    pieces = written(pieces, "pieces")
+    # equal stretches have come together by batch; here they do by minimizer, in the exchange that the suffix arrays need
+    near = pieces.where("piece is not null").select("key", "piece_id", "low", "high", "piece").repartition(n, "key")
+    distinct = near.groupBy("key", "piece_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("piece").alias("piece"))
+    found = distinct.select("key", "piece_id", "low", "high", "piece").sortWithinPartitions("key").mapInArrow(_resolved, "key long, piece_id long, a int, b int, first long")
     found = written(found, "repeats")
     cuts = pieces.select("key", "piece_id", "doc_id", "t", "at").join(found, ["key", "piece_id"]).where("doc_id > first")
     cuts = written(cuts.groupBy("doc_id", "t").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))).alias("cuts")), "cuts")
