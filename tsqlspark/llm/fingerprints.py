@@ -48,19 +48,23 @@ CHAINS = rf"(?<= )(?=((?!{ANCHOR} )[^ ]++(?: (?:{ANCHOR} )*+[^ ]++){{{CHAIN - 1}
 FEW_SPOTS = 8
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct 32-bit signatures of a text.
+def with_signatures(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sorted distinct 32-bit signatures of the texts in ``column`` (without nulls).
 
     A text with fewer than ``FEW_SPOTS`` spots also has the chains of ``CHAIN`` content words that no anchor precedes.  One
-    without any is represented by one signature, of its words; one without words by that of the text itself.
+    without any is represented by one signature, of its words; one without words by that of the text itself.  The steps
+    are columns of their own, each named more than once after, so that the optimizer doesn't repeat a step by inlining it.
     """
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), GAP, " "), F.lit(" "))
-    spots = F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1))
-    # of a text with few spots, every chain of content words counts too
-    spots = F.when(F.size(spots) < FEW_SPOTS, F.concat(spots, F.regexp_extract_all(plain, F.lit(CHAINS), F.lit(1)))).otherwise(spots)
-    hashed = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, f" (?:{ANCHOR} )++", " ")))
-    whole = F.hash(F.when(F.trim(plain) == "", text).otherwise(plain))
-    return F.sort_array(F.array_distinct(F.when(F.size(hashed) > 0, hashed).otherwise(F.array(whole))))
+    keep = rows.columns
+    rows = rows.withColumn("__plain", F.concat(F.lit(" "), F.regexp_replace(F.lower(column), GAP, " "), F.lit(" ")))
+    rows = rows.withColumn("__spots", F.regexp_extract_all("__plain", F.lit(SPOT), F.lit(1)))
+    chains = F.regexp_extract_all("__plain", F.lit(CHAINS), F.lit(1))
+    spots = F.when(F.size("__spots") < FEW_SPOTS, F.concat("__spots", chains)).otherwise(F.col("__spots"))
+    inner = f" (?:{ANCHOR} )++"
+    hashed = F.transform(spots, lambda s: F.hash(F.regexp_replace(s, inner, " ")))
+    rows = rows.withColumn("__hashed", F.sort_array(F.array_distinct(hashed)))
+    whole = F.hash(F.when(F.col("__plain") == "  ", F.col(column)).otherwise(F.col("__plain")))
+    return rows.select(*keep, F.when(F.size("__hashed") > 0, F.col("__hashed")).otherwise(F.array(whole)).alias(name))
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -107,7 +111,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     placed = thin.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(_bucket(thin.select("doc_id"))))
-    moved = placed.withColumn("sigs", signatures(F.col("text"))).repartition("bucket")
+    moved = with_signatures(placed, "text", "sigs").repartition("bucket")
     run = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     near = moved.select("*", F.lead("text").over(run).alias("next_text"), F.lead("sigs").over(run).alias("next_sigs"), F.lag(F.lit(1)).over(run).alias("before"))
     firsts = written(near.where("before is null").select("bucket", F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs")), "firsts")
@@ -132,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).select("*", n.alias("n"), (n - F.floor(n / 3).cast("int")).alias("kept"))
     edited = F.concat(F.expr("substring(text, 1, kept)"), F.expr("substring(next_text, 1, n - kept)"))
     rows = rows.select("doc_id", "n", "sigs", "next_sigs", edited.alias("edited"))
-    rows = rows.select("doc_id", "n", "sigs", "next_sigs", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_sigs"))
+    rows = with_signatures(rows, "edited", "edited_sigs").withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256",
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
@@ -146,7 +150,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFram
     Documents of equal fingerprints are of one class; different ones are linked where their likeness is at least
     ``similarity``.  Rows with a null doc_id get the class of an equal fingerprint, else null.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.coalesce(F.col("text"), F.lit(""))).alias("sigs")).withColumn("digest", F.md5(fingerprint(F.col("sigs")))), "spots")
+    rows = written(with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")), "text", "sigs").drop("text").withColumn("digest", F.md5(fingerprint(F.col("sigs")))), "spots")
     texts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")), "sets")
     size = F.size("sigs")
     part = F.floor(F.log(size.cast("double")) / math.log(1 / similarity) + 1e-9)
