@@ -91,16 +91,15 @@ def _bucket(rows: DataFrame) -> Column:
     within = max(1, n // (NEIGHBOURS * parts))
     table = F.lit(bounds)
     id_ = F.greatest(F.least(F.coalesce("doc_id", F.lit(bounds[0])), F.lit(bounds[-1])), F.lit(bounds[0]))
-    # binary search for the last bound that isn't above the id
-    low = F.lit(0)
-    step = 1 << max(0, (len(bounds) - 1).bit_length() - 1)
-    while step:
-        low = F.when(F.coalesce(F.get(table, low + F.lit(step)) <= id_, F.lit(False)), low + F.lit(step)).otherwise(low)
-        step >>= 1
-    if within == 1:
-        return low.cast("long")
-    start, end = F.get(table, low), F.coalesce(F.get(table, low + 1), F.lit(bounds[-1] + 1))
-    return low.cast("long") * within + F.floor((id_ - start) / (end - start) * within).cast("long")
+    # binary search for the last bound that isn't above the id; one lambda, so the expression doesn't grow with the bounds
+    steps = [1 << i for i in reversed(range((len(bounds) - 1).bit_length()))] or [0]
+    low = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step) <= id_, F.lit(False)), at + step).otherwise(at))
+
+    def number(at: Column) -> Column:
+        start, end = F.get(table, at), F.coalesce(F.get(table, at + 1), F.lit(bounds[-1] + 1))
+        return at.cast("long") * within + F.floor((id_ - start) / (end - start) * within).cast("long")
+
+    return F.transform(F.array(low), number)[0]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
