@@ -156,16 +156,20 @@ def boost(cells: list[tuple[dict, int, int]], check: list[tuple[dict, int, int]]
     def best_cut(rows: list[int], g: list[float], h: list[float]) -> tuple:
         """The split with the largest gain: (gain, feature, cut, low, high)."""
         top = None
+        total = [sum(g[i] for i in rows), sum(h[i] for i in rows)]
         for f in FEATURES:
-            for cut in sorted({cells[i][0][f] for i in rows}):
-                sums = [[0.0, 1.0], [0.0, 1.0]]
-                for i in rows:
-                    side = sums[cells[i][0][f] > cut]
-                    side[0] += g[i]
-                    side[1] += h[i]
-                gain = sum(a * a / b for a, b in sums)
-                if top is None or gain > top[0] + 1e-12:
-                    top = (gain, f, cut, *(round(RATE * a / b, 6) for a, b in sums))
+            by_value: dict[int, list[float]] = {}
+            for i in rows:
+                at = by_value.setdefault(cells[i][0][f], [0.0, 0.0])
+                at[0] += g[i]
+                at[1] += h[i]
+            low = [0.0, 1.0]
+            for cut in sorted(by_value):
+                low = [low[0] + by_value[cut][0], low[1] + by_value[cut][1]]
+                high = [total[0] - low[0], total[1] - low[1] + 2.0]
+                gain = low[0] ** 2 / low[1] + high[0] ** 2 / high[1]
+                if top is None or gain > top[0] + 1e-9:
+                    top = (gain, f, cut, round(RATE * low[0] / low[1], 6), round(RATE * high[0] / high[1], 6))
         return top or (0.0, FEATURES[0], 0, 0.0, 0.0)
 
     for _ in range(ROUNDS):
@@ -225,8 +229,13 @@ def examples(n: int = EXAMPLES) -> list[tuple[str, str, int]]:
     return made
 
 
+_FITTED: dict[int, dict[str, Trees]] = {}
+
+
 def fitted(spark: SparkSession, n: int = EXAMPLES) -> dict[str, Trees]:
-    """The trees of each kind."""
+    """The trees of each kind; they depend on ``n`` alone and are kept."""
+    if n in _FITTED:
+        return _FITTED[n]
     snippets = json.dumps([{"kind": k, "text": t, "label": y, "fold": i // len(KINDS) % 4} for i, (k, t, y) in enumerate(examples(n))])
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(snippets), "array<struct<kind:string,text:string,label:int,fold:int>>")).alias("x")).select("x.*")
     models = {}
@@ -238,6 +247,7 @@ def fitted(spark: SparkSession, n: int = EXAMPLES) -> dict[str, Trees]:
         counted = each.groupBy(*FEATURES, (F.col("fold") == 0).alias("held")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).orderBy(*FEATURES, "held").collect()
         cells = [({f: row[f] for f in FEATURES}, row["pos"], row["neg"], row["held"]) for row in counted]
         models[kind] = boost([c[:3] for c in cells if not c[3]], [c[:3] for c in cells if c[3]])
+    _FITTED[n] = models
     return models
 
 
