@@ -120,7 +120,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     top = numbers.agg(F.max("bucket").alias("top"))
     after = after.join(F.broadcast(top)).select("b", F.coalesce("following", "top").alias("following"))
     heads = after.join(firsts, F.col("following") == F.col("bucket")).select("b", "next_text", "next_sigs")
-    lasts = near.where("next_text is null").select("bucket", "doc_id", "text", "sigs").join(heads, F.col("bucket") == F.col("b"))
+    # null-safe, as a filter for nulls would reach below the exchange and keep it from being used for both
+    lasts = near.where("next_text is null").select("bucket", "doc_id", "text", "sigs").join(heads, F.col("bucket").eqNullSafe(F.col("b")))
     columns = ["doc_id", "text", "sigs", "next_text", "next_sigs"]
     return near.where("next_text is not null").select(*columns).union(lasts.select(*columns))
 
