@@ -262,6 +262,16 @@ def test_licenses(docs, empty):
     assert "cc-by-nc" in rows[29].labels.split(",") and rows[30].labels == "agpl"
 
 
+def test_licenses_of_a_file_with_all_notices(spark):
+    """Every posted word votes, however many the file has."""
+    notices = [t[1] for t in licenses.TEMPLATES]
+    posted = " ".join(sorted(licenses.Index().postings))
+    rows = [(-1, "\n\n".join(notices)), *[(n, f"{t}\n{prose(20, 60)}\n{posted}") for n, t in enumerate(notices)]]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-1] == sorted({t[0] for t in licenses.TEMPLATES})
+    assert [t[0] for n, t in enumerate(licenses.TEMPLATES) if t[0] not in got[n]] == []
+
+
 def test_pii(spark, docs, empty):
     models = pii.fitted(spark)
     assert pii.scan(empty, models).count() == 0

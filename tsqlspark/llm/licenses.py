@@ -1,8 +1,7 @@
 """License scan with a positional index of rare tokens, in DataFrame functions throughout.
 
-Every template's words are posted with their positions; a word's IDF is taken over the templates.  For each file the
-words of highest IDF that it has are looked up, each (file position, template position) pair votes for the place where
-the template would begin, and a template is a candidate where the most distinct rare words agree on one place.  It counts
+The words that few templates have are posted with their positions.  Every place of a posted word in a file is looked
+up, each (file position, template position) pair votes for the place where the template would begin, and a template is a candidate where the most distinct rare words agree on one place.  It counts
 once its mandatory key phrases stand where that place puts them, give or take ``SLACK`` words.
 
 The index is a literal of a few hundred words, fixed by the templates.  Files are scanned where they lie, without a
@@ -18,8 +17,6 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct rare words looked up per file, those of highest IDF first; words one template has come before shared ones.
-ANCHORS = 48
 #: Share of the templates in which a word may be and still count as rare.
 MOST_TEMPLATES = 0.25
 #: Votes of distinct words that make a candidate, as a share of the template's rare words, and the least number.
@@ -69,7 +66,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Index:
-    """Postings, IDFs and key phrases of the templates."""
+    """Postings of the rare words and key phrases of the templates."""
 
     def __init__(self, templates: list[tuple[str, str, list[str]]] = TEMPLATES):
         self.labels = [t[0] for t in templates]
@@ -79,7 +76,6 @@ class Index:
         for n, words in enumerate(self.words):
             for q, w in enumerate(words):
                 self.postings[w].append((n, q))
-        self.idf = {w: math.log(1 + len(templates) / len({n for n, _ in p})) for w, p in self.postings.items()}
         # only rare words are posted
         self.postings = {w: p for w, p in self.postings.items() if len({n for n, _ in p}) <= MOST_TEMPLATES * len(templates)}
         self.rare = [len(set(words) & self.postings.keys()) for words in self.words]
@@ -89,8 +85,8 @@ class Index:
         return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 
     def literal(self) -> Column:
-        """Map from word to (minus its IDF, postings)."""
-        entries = ", ".join(f"struct('{w}', struct({-self.idf[w]:.6f}d as rare, array({', '.join(f'struct({n} as t, {q} as q)' for n, q in p)}) as at))" for w, p in sorted(self.postings.items()))
+        """Map from word to postings."""
+        entries = ", ".join(f"struct('{w}', array({', '.join(f'struct({n} as t, {q} as q)' for n, q in p)}))" for w, p in sorted(self.postings.items()))
         return F.expr(f"map_from_entries(array({entries}))")
 
     def possible(self) -> str:
@@ -139,27 +135,21 @@ def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
             F.when(some, F.col("n_words") - len(phrase.split()) - F.regexp_count(F.element_at(pieces, -1), count)).cast("long").alias(f"l{n}"),
         ]
     rows = rows.select(*columns).withColumn("words", F.regexp_extract_all("low", count, F.lit(0)))
-    looked_up = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"), F.try_element_at(index.literal(), w).alias("entry"))), lambda x: x["entry"].isNotNull())
-    rows = rows.withColumn("seen", looked_up)
-    own = F.array_distinct(F.transform("seen", lambda x: x["w"]))
-    rare = F.slice(F.array_sort(F.transform(own, lambda w: F.struct(F.try_element_at(index.literal(), w)["rare"].alias("rare"), w.alias("w")))), 1, ANCHORS)
-    rows = rows.withColumn("rarest", F.try_element_at(rare, F.lit(-1)))
-    used = F.filter("seen", lambda x: F.struct(x["entry"]["rare"].alias("rare"), x["w"].alias("w")) <= F.col("rarest"))
-    cast_votes = F.flatten(F.transform(used, lambda x: F.transform(x["entry"]["at"], lambda y: F.struct(y["t"].alias("t"), (x["p"] - y["q"]).alias("place"), x["w"].alias("w")))))
-    # "rarest" is named twice so that the optimizer doesn't move it into the lambda, where each word would compute it anew
-    rows = rows.withColumn("votes", F.when(F.col("rarest").isNotNull(), F.array_sort(cast_votes)))
+    looked_up = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"), F.try_element_at(index.literal(), w).alias("at"))), lambda x: x["at"].isNotNull())
+    cast_votes = F.flatten(F.transform(looked_up, lambda x: F.transform(x["at"], lambda y: F.struct(y["t"].alias("t"), (x["p"] - y["q"]).alias("place"), x["w"].alias("w")))))
+    rows = rows.withColumn("votes", F.array_sort(cast_votes))
     rows = rows.withColumn("agreed", F.when(F.size("votes") > 0, F.transform(F.sequence(F.lit(0), F.lit(len(index.words) - 1)), lambda n: _longest_agreement(F.col("votes"), n))))
     found = []
     for n in range(len(index.words)):
         distinct = index.rare[n]
         best, place = F.col("agreed")[n]["votes"], -F.col("agreed")[n]["back"]
-        least = min(distinct, max(LEAST_VOTES, math.ceil(LEAST_SHARE * min(distinct, ANCHORS))))
+        least = min(distinct, max(LEAST_VOTES, math.ceil(LEAST_SHARE * distinct)))
         stands = best >= least
         for phrase, q in index.phrases[n]:
             low = F.greatest(place + q - SLACK, F.lit(0))
             near = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, F.greatest(place + q + SLACK + len(phrase) - low, F.lit(0))), " "), F.lit(" "))
             stands = stands & F.contains(near, F.lit(f" {' '.join(phrase)} "))
-        share = F.least(best / float(min(distinct, ANCHORS)), F.lit(1.0))
+        share = F.least(best / float(distinct), F.lit(1.0))
         found.append(F.when(stands, F.struct(F.lit(index.labels[n]).alias("label"), F.greatest(place, F.lit(0)).cast("long").alias("start"), share.alias("share"))))
     rows = rows.withColumn("matches", F.coalesce(F.when(F.size("votes") > 0, F.array_compact(F.array(*found))), F.expr("cast(array() as array<struct<label:string,start:bigint,share:double>>)")))
     base = F.array_compact(F.array(*[F.when(F.col(f"n{n}") > 0, F.lit(label)) for n, (_, label) in enumerate(BASE)]))
