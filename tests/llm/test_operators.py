@@ -272,6 +272,20 @@ def test_licenses_of_a_file_with_all_notices(spark):
     assert [t[0] for n, t in enumerate(licenses.TEMPLATES) if t[0] not in got[n]] == []
 
 
+def test_licenses_after_an_altered_notice(spark):
+    """A place where the key phrases fail doesn't hide a later one with as many votes, however many come before."""
+    notices = [t[1] for t in licenses.TEMPLATES]
+    altered = [re.sub(r"\b([Ll])icense\b", r"\1icence", t) for t in notices]
+    rows = [(k, f"{f'{a} {prose(21, 40)} ' * times}{t}") for times in (1, 3) for k, (a, t) in enumerate(zip(altered, notices, strict=True), 100 * times)]
+    rows += [(k, t) for k, t in enumerate(notices)]
+    got = {r.doc_id: {m.label: (m.start, m.share) for m in r.matches} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, text, phrases) in enumerate(licenses.TEMPLATES):
+        assert got[k][label] == (0, 1.0)
+        for times in (1, 3):
+            skipped = any("license" in p for p in phrases)
+            assert got[100 * times + k].get(label) == (skipped * times * (len(words(text)) + 40), 1.0), (label, times)
+
+
 def test_pii(spark, docs, empty):
     models = pii.fitted(spark)
     assert pii.scan(empty, models).count() == 0

@@ -1,8 +1,8 @@
 """License scan with a positional index of rare tokens, in DataFrame functions throughout.
 
 The words that few templates have are posted with their positions.  Every place of a posted word in a file is looked
-up, each (file position, template position) pair votes for the place where the template would begin, and a template is a candidate where the most distinct rare words agree on one place.  It counts
-once its mandatory key phrases stand where that place puts them, give or take ``SLACK`` words.
+up, each (file position, template position) pair votes for the place where the template would begin, and every place on which enough distinct rare words agree is a candidate.  It counts once the
+template's mandatory key phrases stand where the place puts them, give or take ``SLACK`` words.
 
 The index is a literal of a few hundred words, fixed by the templates.  Files are scanned where they lie, without a
 shuffle; those in which no key phrase can stand are told apart by one regular expression.
@@ -98,23 +98,31 @@ class Index:
         return "(?i)" + "|".join(sorted(keys))
 
 
-def _longest_agreement(votes: Column, n: Column) -> Column:
-    """Of the sorted (t, place, word): the place with the most distinct words for template ``n``, as (votes, -place)."""
-    mine = F.filter(votes, lambda v: v["t"] == n)
-    start = F.struct(F.lit(None).cast("int").alias("place"), F.lit("").alias("w"), F.lit(0).alias("run"), F.struct(F.lit(0).alias("votes"), F.lit(0).alias("back")).alias("best"))
+def _before(items: Column, at: Column) -> Column:
+    """The item before index ``at``, null for the first."""
+    return F.get(items, at - 1)
 
-    def step(s: Column, v: Column) -> Column:
-        run = F.when(s["place"].eqNullSafe(v["place"]), s["run"] + (s["w"] != v["w"]).cast("int")).otherwise(F.lit(1))
-        return F.struct(v["place"].alias("place"), v["w"].alias("w"), run.alias("run"), F.greatest(s["best"], F.struct(run.alias("votes"), (-v["place"]).alias("back"))).alias("best"))
 
-    return F.aggregate(mine, start, step, lambda s: s["best"])
+def _best_place(index: Index, n: int) -> Column:
+    """Of the ``places`` of template ``n`` with enough votes and all key phrases the one with most votes: (votes, -place)."""
+    least = min(index.rare[n], max(LEAST_VOTES, math.ceil(LEAST_SHARE * index.rare[n])))
+
+    def stands(x: Column) -> Column:
+        holds = (x["t"] == n) & (x["votes"] >= least)
+        for phrase, q in index.phrases[n]:
+            low = F.greatest(x["place"] + (q - SLACK), F.lit(0))
+            near = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, F.greatest(x["place"] + (q + SLACK + len(phrase)) - low, F.lit(0))), " "), F.lit(" "))
+            holds = holds & F.contains(near, F.lit(f" {' '.join(phrase)} "))
+        return holds
+
+    return F.array_max(F.transform(F.filter("places", stands), lambda x: F.struct(x["votes"].alias("votes"), (-x["place"]).alias("back"))))
 
 
 def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) for each row (doc_id, text).
 
-    ``matches``: (label, start word, share of the template's words that agree) of the templates found.  Labels are
-    distinct and sorted.  ``score`` is the largest share, 0 without a match.  Null texts have no words; rows that repeat
+    ``matches``: (label, start word, share of the template's words that agree) of the templates found, each at the place
+    with the most votes of those where its key phrases stand, the earliest on a tie.  Labels are distinct and sorted.  ``score`` is the largest share, 0 without a match.  Null texts have no words; rows that repeat
     a document are scanned alike; other columns are ignored.
     """
     index = index or Index()
@@ -137,21 +145,21 @@ def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
     rows = rows.select(*columns).withColumn("words", F.regexp_extract_all("low", count, F.lit(0)))
     looked_up = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"), F.try_element_at(index.literal(), w).alias("at"))), lambda x: x["at"].isNotNull())
     cast_votes = F.flatten(F.transform(looked_up, lambda x: F.transform(x["at"], lambda y: F.struct(y["t"].alias("t"), (x["p"] - y["q"]).alias("place"), x["w"].alias("w")))))
-    rows = rows.withColumn("votes", F.array_sort(cast_votes))
-    rows = rows.withColumn("agreed", F.when(F.size("votes") > 0, F.transform(F.sequence(F.lit(0), F.lit(len(index.words) - 1)), lambda n: _longest_agreement(F.col("votes"), n))))
+    # each column below is named more than once where it is used, so the optimizer doesn't move it into a lambda
+    rows = rows.withColumn("cast", F.array_sort(cast_votes))
+    rows = rows.withColumn("votes", F.filter("cast", lambda v, i: ~v.eqNullSafe(_before(F.col("cast"), i))))
+    # where the votes for a place begin; the next beginning tells how many they are
+    agree = lambda v, u: v["t"].eqNullSafe(u["t"]) & v["place"].eqNullSafe(u["place"])
+    begins = F.filter(F.transform("votes", lambda v, i: F.when(~agree(v, _before(F.col("votes"), i)), F.struct(v["t"].alias("t"), v["place"].alias("place"), i.alias("at")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("begins", begins)
+    rows = rows.withColumn("places", F.transform("begins", lambda x, i: F.struct(x["t"].alias("t"), x["place"].alias("place"), (F.coalesce(F.get("begins", i + 1)["at"], F.size("votes")) - x["at"]).alias("votes"))))
+    best = [_best_place(index, n) for n in range(len(index.words))]
+    rows = rows.withColumn("best", F.when(F.size("places") > 0, F.array(*best)))
     found = []
-    for n in range(len(index.words)):
-        distinct = index.rare[n]
-        best, place = F.col("agreed")[n]["votes"], -F.col("agreed")[n]["back"]
-        least = min(distinct, max(LEAST_VOTES, math.ceil(LEAST_SHARE * distinct)))
-        stands = best >= least
-        for phrase, q in index.phrases[n]:
-            low = F.greatest(place + q - SLACK, F.lit(0))
-            near = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, F.greatest(place + q + SLACK + len(phrase) - low, F.lit(0))), " "), F.lit(" "))
-            stands = stands & F.contains(near, F.lit(f" {' '.join(phrase)} "))
-        share = F.least(best / float(distinct), F.lit(1.0))
-        found.append(F.when(stands, F.struct(F.lit(index.labels[n]).alias("label"), F.greatest(place, F.lit(0)).cast("long").alias("start"), share.alias("share"))))
-    rows = rows.withColumn("matches", F.coalesce(F.when(F.size("votes") > 0, F.array_compact(F.array(*found))), F.expr("cast(array() as array<struct<label:string,start:bigint,share:double>>)")))
+    for n, distinct in enumerate(index.rare):
+        at = F.col("best")[n]
+        found.append(F.when(at.isNotNull(), F.struct(F.lit(index.labels[n]).alias("label"), F.greatest(-at["back"], F.lit(0)).cast("long").alias("start"), (at["votes"] / float(distinct)).alias("share"))))
+    rows = rows.withColumn("matches", F.coalesce(F.when(F.col("best").isNotNull(), F.array_compact(F.array(*found))), F.expr("cast(array() as array<struct<label:string,start:bigint,share:double>>)")))
     base = F.array_compact(F.array(*[F.when(F.col(f"n{n}") > 0, F.lit(label)) for n, (_, label) in enumerate(BASE)]))
     rows = rows.withColumn("base", F.array_sort(F.array_distinct(base)))
     every = F.array_sort(F.array_union("base", F.transform("matches", lambda m: m["label"])))
