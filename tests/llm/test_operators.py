@@ -195,6 +195,20 @@ def test_large_buckets(spark, monkeypatch):
     assert got == {0}
 
 
+def test_near_duplicates_with_unequal_repeats(spark):
+    """Copies with a line of the text repeated at the end, alike as sets but not by the weights of their shingles."""
+    rows = []
+    for k in range(60):
+        w = prose(400 + k, 120).split()
+        line, changed = w[40:70], [*w[:20], "changed", *w[21:]]
+        copy = (w if k % 2 else changed) + line * (50 if k % 3 else 400)
+        a, b = shingles(" ".join(w)), shingles(" ".join(copy))
+        assert len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(copy))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_prob_min_hash():
     import pyarrow as pa
 

@@ -6,6 +6,10 @@ of a shingle ends once its next arrival is later than the latest component.  Two
 probability equal to the probability Jaccard similarity of the texts.  Signatures are banded; pairs from one bucket are
 verified by the Jaccard similarity of their shingle sets, and classes are the connected components of the links.
 
+Where two texts repeat their shingles unequally, the probability Jaccard similarity is far below that of the sets.  So a
+text with repeats is banded by a second signature too, of the same processes at unit rates, which agrees with probability
+equal to the similarity that is verified.  Without repeats both signatures are the same.
+
 Exact copies are reduced to one text first.  A bucket of up to ``SMALL`` texts is compared pair by pair.  In a larger one
 every text is compared with the smallest; then every text outside the bucket's largest class is compared with the whole
 bucket, block against block within a task, and only links come out.  So of any two classes of a bucket at least one has
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import chunks, components, mix64, scan_words, shingle_hashes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair at 0.8 shares a bucket with probability 1 - (1 - 0.8^4)^16 = 0.9998.
+#: A pair at 0.8 shares a bucket by the signatures at unit rates with probability 1 - (1 - 0.8^4)^16 = 0.9998.
 BANDS, ROWS = 16, 4
 SMALL = 8
 #: Texts outside a large bucket's largest class, and texts of the bucket, that one task compares.
@@ -65,18 +69,29 @@ def prob_min_hash(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, docs
     return winner.reshape(docs, size)
 
 
+def band_keys(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, docs: int) -> np.ndarray:
+    """Keys (docs x BANDS) of the bands of the texts' signatures."""
+    signature = prob_min_hash(hashes, doc, weights, docs, BANDS * ROWS).reshape(docs, BANDS, ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(ROWS):
+        keys = mix64(keys + signature[:, :, r])
+    return keys
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(2)
         for lo, hi, data, bounds in chunks(column, 1 << 20):
             hashes, doc, counts = shingle_sets(data, bounds, SHINGLE)
-            signature = prob_min_hash(hashes, doc, 1 + np.log(counts), hi - lo, BANDS * ROWS).reshape(hi - lo, BANDS, ROWS)
-            keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-            for r in range(ROWS):
-                keys = mix64(keys + signature[:, :, r])
             some = np.bincount(doc, minlength=hi - lo) > 0
-            offsets = np.concatenate(([0], np.cumsum(some * BANDS)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].view(np.int64).ravel()))
+            repeats = np.bincount(doc[counts > 1], minlength=hi - lo) > 0
+            own = repeats[doc]
+            weighted = band_keys(hashes[own], (np.cumsum(repeats) - 1)[doc[own]], 1 + np.log(counts[own]), int(repeats.sum()))
+            offsets = np.concatenate(([0], np.cumsum((some.astype(np.int64) + repeats) * BANDS)))
+            keys = np.empty(int(offsets[-1]), np.uint64)
+            keys[offsets[:-1][some][:, None] + np.arange(BANDS)] = band_keys(hashes, doc, np.ones(len(hashes)), hi - lo)[some]
+            keys[offsets[:-1][repeats][:, None] + BANDS + np.arange(BANDS)] = weighted
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["doc_id", "digest", "bands"])
 
 
@@ -174,7 +189,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     # a key of a third of all rows is reduced to one row by each task before the exchange
     texts = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
     placed = texts.where("id is not null").select("id", F.posexplode("bands").alias("band", "key"))
-    placed = placed.select(F.xxhash64("band", "key").alias("bucket"), "id").distinct()
+    placed = placed.select(F.xxhash64(F.pmod("band", F.lit(BANDS)), "key").alias("bucket"), "id").distinct()
     shared = placed.groupBy("bucket").count().where("count > 1").select("bucket")
     members = written(placed.join(shared, "bucket", "left_semi"), "members")
     involved = texts.join(members.select("id").distinct(), "id").select(F.col("id").alias("doc_id"), "digest")
