@@ -363,6 +363,18 @@ def test_quality(spark):
     assert quality.classified(df.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_quality_with_labels_outside_the_documents(spark, monkeypatch):
+    """Such labels change neither the share of labelled documents nor the bound of the pool."""
+    taken = []
+    collected = quality._collected
+    monkeypatch.setattr(quality, "_collected", lambda df: [taken.append(len(x[1])) or x for x in [collected(df)]][0])
+    df = spark.createDataFrame([(i, prose(i, 5), "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
+    inside = [(i, i % 4 // 2, 0) for i in range(0, 400, 2)]
+    for labels in (inside, inside + [(i, 1, 0) for i in range(1000, 3000)]):
+        quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=100, max_pool=50)
+    assert taken[:2] == taken[2:] and 60 < taken[0] < 140 and 25 < taken[1] < 80
+
+
 def test_warc(spark):
     html = "<p>WARC/1.1\r\n\r\nx\r\n\r\n</p>"
     rows = [(3, "http://a b/é", html), (1, "http://x", html), (2, None, None), (4, "u", ""), (None, "v", html), (5, "w", "é" * 5000), (5, "w", "é" * 5000)]

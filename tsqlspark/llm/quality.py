@@ -248,7 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool:
     """
     ids = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("label_quality"), F.round(F.avg("toxic")).cast("int").alias("label_toxic"))
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    n_labels, n_docs = ids.count(), base.count()
+    # labels of ids outside the documents count for neither
+    there = base.select("doc_id").distinct().join(ids.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    n_docs, n_labels = there.agg(F.count("*"), F.count("known")).first()
     some = ids.where(_pick(min(1.0, max_labelled / max(1, n_labels))))
     columns = ["doc_id", "label_quality", "label_toxic", "text", "lang", "source"]
     known = base.where(_pick(min(1.0, max_labelled / max(1, n_labels)))).join(some, "doc_id").dropDuplicates(["doc_id"]).select(*columns)
