@@ -77,9 +77,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts of an Arrow string column and the n + 1 offsets into them; nulls are empty."""
+    """Bytes of all texts of an Arrow string or binary column and the n + 1 offsets into them; nulls are empty."""
     column = pc.fill_null(column, "") if column.null_count else column
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds.astype(np.int64)
@@ -164,6 +164,29 @@ def with_rank(df: DataFrame, order: list, name: str, partitions: int | None = No
     return placed.join(F.broadcast(table), part == F.col("__p")).withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__before")
 
 
+#: A key with more than this share of all rows is joined by broadcast; there are at most as many such keys as its inverse.
+HOT_SHARE = 1 / 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``rows`` with ``table`` (key, rows: how many ``rows`` have it, and others), the count left out.
+
+    ``rows`` should be written, as it is read three times.  Keys of more than ``HOT_SHARE`` of all rows, of which there
+    can't be more than 1 / ``HOT_SHARE``, meet their rows by broadcast, so that no task gets all rows of a key; the others
+    are shuffled.
+    """
+    table = written(table, "counted")
+    most = int(rows.count() * HOT_SHARE)
+    few = table.where(F.col("rows") > most).drop("rows")
+    others = table.where(F.col("rows") <= most).drop("rows")
+    if few.limit(1).count() == 0:
+        return rows.join(others, key)
+    # a hot key's rows meet none of the others; the left join tells them before the shuffle
+    names = few.select(F.col(key).alias("__hot"))
+    cold = rows.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(cold.join(others, key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): for each id in ``edges`` the smallest id of its connected component.
 
