@@ -4,41 +4,88 @@ An ARC archive is a version block, whose second line names the version and whose
 line, followed by records of such a line and as many bytes of content as the line's last field declares.  The converter
 reads archives of version 1 and 2, and writes for every record an equivalent WARC record: identifier from the record's
 address, date and content, timestamp from the 14-digit date, type from the content, SHA-1 digests of block and payload,
-and a revisit record without content for a payload that an earlier record holds.
+and a revisit record without content, which names the record it refers to, for a payload that another record holds.
 
-Archives are plain concatenations of text records, so Spark's text sink writes them (gzip, ``RECORDS`` records each at
-most) and its binary source reads them back, one whole archive at a time; all file access is Spark's.
+Records are compressed in gzip members of about ``MEMBER_BYTES``, and an archive holds about ``ARCHIVE_BYTES`` (or one
+longer record).  Spark's text sink writes each archive as a file and its binary source reads it back whole, up to its limit of
+2 GB a file; all file access is Spark's.  An archive is parsed for its digests and once more when it is converted: its
+contents are not shuffled, only moved compressed to the decisions on its records.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_root, written
+from .common import join_counted, scratch_root, written
 
-#: Records of an archive, so that a whole archive fits in memory.
-RECORDS = 512
+#: Content bytes after which an archive is closed, so that a whole archive fits in memory.
+ARCHIVE_BYTES = 1 << 22
+#: Content bytes after which a gzip member is closed, and how hard it is packed.
+MEMBER_BYTES, LEVEL = 1 << 17, 3
 #: The names of the header line's fields in the two versions of the format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 DATE = "19970801000000"
+#: An empty gzip member.  Its last byte is left to the text sink, which ends every line, and so every archive, with it.
+_LAST_MEMBER = zlib.compressobj(LEVEL, zlib.DEFLATED, 31).flush()
+_END = "\x00"
+#: Packed bytes that are looked at together.
+_STEP = 1 << 14
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _members(records: list[bytes]) -> Iterator[bytes]:
+    """The gzip members of whole records."""
+    lo, size = 0, 0
+    for hi, record in enumerate(records, 1):
+        size += len(record)
+        if size >= MEMBER_BYTES or hi == len(records):
+            packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            yield packer.compress(b"".join(records[lo:hi])) + packer.flush()
+            lo, size = hi, 0
+
+
+def _unpacked(data: bytes) -> bytes:
+    """The members of a gzip archive one after the other; data of any other kind as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a gzip member")
+            part = view[at : at + _STEP]
+            out.append(member.decompress(part))
+            at += len(part)
+        at -= len(member.unused_data)
+    return b"".join(out)
+
+
+def _archive_batch(records: list[bytes]) -> pa.RecordBatch:
+    """An archive of the records as one value; bytes of any encoding pass through the text sink as they are."""
+    _, offsets, data = pa.array([b"".join([*_members(records), _LAST_MEMBER[:-1]])], pa.binary()).buffers()
+    return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, offsets, data)], names=["value"])
+
+
+def _write_archives(archives: DataFrame, path: str) -> None:
+    archives.write.option("maxRecordsPerFile", 1).option("lineSep", _END).text(path)
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # ARC
 
@@ -106,48 +153,66 @@ def write_arc(pages: DataFrame, path: str) -> None:
     """``pages`` (page_id, url, html) as ARC archives of versions 1 and 2 under ``path``; null html is empty."""
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, version, name, offset = 0, 1, "", 0
+        held: list[bytes] = []
+        version, name, offset = 0, "", 0
         for batch in batches:
-            out = []
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n % RECORDS == 0:
-                    version = 1 + n // RECORDS % 2 if n else 1 + (page_id or 0) % 2
-                    name = f"{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {n}').hex}.arc"
-                    out.append(arc_version_block(version, name))
-                    offset = len(out[-1]) + 1
-                    n += 1
-                out.append(arc_record(version, name, url, page_id, html or "", offset))
-                offset += len(out[-1].encode()) + 1
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                if offset >= ARCHIVE_BYTES:
+                    yield _archive_batch(held)
+                    held = []
+                if not held:
+                    version = version % 2 + 1
+                    name = f"{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {version}').hex}.arc"
+                    record = arc_version_block(version, name).encode() + b"\n"
+                    held, offset = [record], len(record)
+                record = arc_record(version, name, url, page_id, html or "", offset).encode() + b"\n"
+                held.append(record)
+                offset += len(record)
+        if held:
+            yield _archive_batch(held)
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(archives, "value string").write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write_archives(rows.mapInArrow(archives, "value string"), path)
 
 
 # ---------------------------------------------------------------------------------------------------------------------
 # WARC
 
 
-def warc_record(fields: dict[str, str], content: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """The WARC record equivalent to an ARC record, without the two line ends that end every record."""
+def stamped(date: str) -> str:
+    """The WARC timestamp of a date of up to 14 digits."""
+    date = date.ljust(14, "0")
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def record_id(url: str, date: str, page: str | None, digest: str) -> str:
+    """The same for the same address, date, page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {stamped(date)} {page} {digest}')}>"
+
+
+def warc_record(fields: dict[str, str], content: bytes, first: tuple[int, str, str] | None) -> bytes:
+    """The WARC record equivalent to an ARC record, without the two line ends that end every record.
+
+    ``first``: page, address and date of the record with the same payload that this one is a revisit of, if it is one.
+    """
     http, head, payload = split_http(content)
-    page = http.get("x-page-id")
-    date = fields["Archive-date"].ljust(14, "0")
-    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    page, url = http.get("x-page-id"), fields["URL"]
     digest = base32_sha1(payload)
-    key = f"{fields['URL']} {stamp} {page} {digest}"
-    kind = "warcinfo" if fields["URL"].startswith("filedesc:") else "revisit" if revisit else "response" if head else "resource"
-    block = head if revisit else content
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>", f"WARC-Date: {stamp}"]
+    kind = "warcinfo" if url.startswith("filedesc:") else "revisit" if first else "response" if head else "resource"
+    block = head if first else content
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(url, fields['Archive-date'], page, digest)}", f"WARC-Date: {stamped(fields['Archive-date'])}"]
     if kind == "warcinfo":
-        lines.append(f"WARC-Filename: {fields['URL'].rpartition('/')[2]}")
+        lines.append(f"WARC-Filename: {url.rpartition('/')[2]}")
     else:
-        lines += [f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+        lines += [f"WARC-Target-URI: {url}", f"WARC-IP-Address: {fields['IP-address']}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
         if page is not None:
             lines.append(f"X-Page-Id: {page}")
-    if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+    if first:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(first[1], first[2], str(first[0]), digest)}", f"WARC-Refers-To-Target-URI: {first[1]}", f"WARC-Refers-To-Date: {stamped(first[2])}",
+            f"X-Refers-To-Page: {first[0]}",
+        ]
     mime = "application/warc-fields" if kind == "warcinfo" else "application/http;msgtype=response" if head else fields["Content-type"]
     lines += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
@@ -171,80 +236,68 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
-
-
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-    for batch in batches:
-        for content in batch.column(0):
-            data = content.as_py()
-            yield gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """(path, content) of every archive."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Convert the ARC archives under ``arc_path`` into WARC archives under ``warc_path``.
 
     Of records with equal payloads that with the smallest page number is written whole, the others as its revisits; a
-    record without a number revisits one that has one.  Only digests are grouped, so a payload that a third of all
-    records share costs one row a task; contents are exchanged once, by digest and page, to meet their decision.
+    record without a number revisits one that has one.  Digests are grouped and joined without contents, a digest of many
+    records by broadcast; the decisions on an archive's records are brought together by its path.
     """
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in _contents(batches):
-            rows = []
-            for fields, content in parse_arc(data):
-                http, _, payload = split_http(content)
-                info = fields["URL"].startswith("filedesc:")
-                rows.append((None if info else hashlib.sha1(payload).hexdigest(), int(http["x-page-id"]) if "x-page-id" in http else None, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], content))
-            if not rows:  # an archive of nothing
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["digest", "page", "url", "ip", "date", "mime", "content"])
-
-    parsed = _archives(spark, arc_path).mapInArrow(records, "digest string, page long, url string, ip string, date string, mime string, content binary")
-    thin = written(parsed.select("digest", "page").where("digest is not null"), "digests")
-    firsts = thin.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    again = thin.join(firsts, "digest").where("page is null or page <> first").distinct()
-    again = again.select(F.col("digest").alias("d"), F.coalesce("page", F.lit(-1)).alias("p"), F.col("page").isNull().alias("unnamed"), "first")
-    joined = parsed.join(again, (F.col("digest") == F.col("d")) & (F.coalesce("page", F.lit(-1)) == F.col("p")) & (F.col("page").isNull() == F.col("unnamed")), "left")
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(*(c for c in batch.columns), strict=True):
+                rows = []
+                for n, (fields, content) in enumerate(parse_arc(_unpacked(data.as_py()))):
+                    if not fields["URL"].startswith("filedesc:"):
+                        http, _, payload = split_http(content)
+                        rows.append((path.as_py(), n, hashlib.sha1(payload).digest(), int(http["x-page-id"]) if "x-page-id" in http else None, fields["URL"], fields["Archive-date"]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["path", "n", "digest", "page", "url", "date"])
+
+    thin = written(_archives(spark, arc_path).mapInArrow(digests, "path string, n int, digest binary, page long, url string, date string"), "digests")
+    named = F.when(F.col("page").isNotNull(), F.struct("page", "url", "date"))
+    firsts = thin.groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null")
+    again = join_counted(thin.select("path", "n", "digest", "page"), firsts, "digest").where("page is null or page <> first.page")
+    decided = again.groupBy("path").agg(F.collect_list(F.struct("n", "first.*")).alias("again"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                for url, ip, date, mime, content, first in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    fields = {"URL": url, "IP-address": ip, "Archive-date": date, "Content-type": mime}
-                    out.append(warc_record(fields, content, first, first is not None))
-                # bytes of any encoding pass through the text sink as they are
-                _, offsets, data = pa.array(out, pa.binary()).buffers()
-                yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(out), offsets, data)], names=["value"])
+            for data, again in zip(*(c for c in batch.columns), strict=True):
+                first = {x["n"]: (x["page"], x["url"], x["date"]) for x in again.as_py() or []}
+                yield _archive_batch([warc_record(*record, first.get(n)) + b"\r\n\r\n" for n, record in enumerate(parse_arc(_unpacked(data.as_py())))])
 
-    lines = joined.select("url", "ip", "date", "mime", "content", "first").mapInArrow(render, "value string")
-    lines.write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    _write_archives(_archives(spark, arc_path).join(decided, "path", "left").select("content", "again").mapInArrow(render, "value string"), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_id, date, record_type, payload_bytes, payload_digest, refers_to) of response and revisit records.
+    """(page_id, url, record_id, date, record_type, payload_bytes, payload_digest, refers_to, refers_to_id) of response and revisit records.
 
     Block digests, and payload digests where the payload is there, are computed anew; a mismatch raises.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in _contents(batches):
-            out = []
-            for f, block in parse_warc(data):
-                if f["warc-type"] not in ("response", "revisit", "resource"):
-                    continue
-                digest = f["warc-payload-digest"].removeprefix("sha1:")
-                payload = split_http(block)[2]
-                if f["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or f["warc-type"] != "revisit" and base32_sha1(payload) != digest:
-                    raise ValueError(f"digest mismatch in {f['warc-record-id']}")
-                size = int(f["x-payload-length"]) if f["warc-type"] == "revisit" else len(payload)
-                page, first = f.get("x-page-id"), f.get("x-refers-to-page")
-                out.append((int(page) if page else None, f["warc-target-uri"], f["warc-record-id"], f["warc-date"], f["warc-type"], size, digest, int(first) if first else None))
-            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["page_id", "url", "record_id", "date", "record_type", "payload_bytes", "payload_digest", "refers_to"])
-
-    return _archives(spark, path).mapInArrow(rows, "page_id long, url string, record_id string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+        for batch in batches:
+            for data in batch.column(0):
+                out = []
+                for f, block in parse_warc(_unpacked(data.as_py())):
+                    if f["warc-type"] not in ("response", "revisit", "resource"):
+                        continue
+                    digest = f["warc-payload-digest"].removeprefix("sha1:")
+                    payload = split_http(block)[2]
+                    if f["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or f["warc-type"] != "revisit" and base32_sha1(payload) != digest:
+                        raise ValueError(f"digest mismatch in {f['warc-record-id']}")
+                    size = int(f["x-payload-length"]) if f["warc-type"] == "revisit" else len(payload)
+                    page, first = f.get("x-page-id"), f.get("x-refers-to-page")
+                    out.append((int(page) if page else None, f["warc-target-uri"], f["warc-record-id"], f["warc-date"], f["warc-type"], size, digest, int(first) if first else None, f.get("warc-refers-to")))
+                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["page_id", "url", "record_id", "date", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_to_id"])
+
+    return _archives(spark, path).select("content").mapInArrow(rows, "page_id long, url string, record_id string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_id string")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
