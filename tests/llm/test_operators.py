@@ -220,14 +220,10 @@ def test_prob_min_hash():
     assert (sig[0] == sig[2]).mean() == 0
 
 
-def test_repeats(docs, empty):
-    assert repeats.repeated_spans(empty).count() == 0
-    got = {}
-    for r in repeats.repeated_spans(docs).collect():
-        if r.doc_id is not None:
-            got.setdefault(r.doc_id, set()).add((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
-    seen = set()
-    for i, t in enumerate(TEXTS):
+def without_repeats(texts):
+    """Per document, in order of its id: bytes, removed bytes, runs and digest, by brute force."""
+    seen, out = set(), []
+    for t in texts:
         b = (t or "").encode()
         hit = bytearray(len(b))
         own = {b[k : k + 50] for k in range(len(b) - 49)}
@@ -237,14 +233,68 @@ def test_repeats(docs, empty):
         seen |= own
         kept = bytes(x for x, c in zip(b, hit, strict=True) if not c)
         runs = sum(1 for k in range(len(hit)) if hit[k] and (k == 0 or not hit[k - 1]))
-        assert got[i] == {(len(b), sum(hit), runs, hashlib.sha256(kept).hexdigest())}, i
+        out.append((len(b), sum(hit), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats(docs, empty):
+    assert repeats.repeated_spans(empty).count() == 0
+    got = {}
+    for r in repeats.repeated_spans(docs).collect():
+        if r.doc_id is not None:
+            got.setdefault(r.doc_id, set()).add((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    for i, want in enumerate(without_repeats(TEXTS)):
+        assert got[i] == {want}, i
+
+
+@pytest.mark.parametrize("most", [1 << 14, 3])
+def test_repeats_with_a_common_line(spark, monkeypatch, most):
+    """A line that all documents share in contexts of their own, in small suffix arrays, with and without splitting its minimizers."""
+    monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "STRETCHES", 4096)
+    monkeypatch.setattr(repeats, "CHUNK", 4096)
+    line, r = prose(50, 14), np.random.default_rng(51)
+    texts = [f"{prose(500 + k, int(r.integers(0, 30)))} {line}{' ' * (k % 5)}{prose(600 + k % 7, 12)}" for k in range(80)]
+    texts += [LONG + "\0" * 60, "x" + LONG[100:9000] + LONG[50:60], "\0" * 70, line[:50], line[1:51] + "\0"]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeated_spans(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(without_repeats(texts)))
+
+
+def test_longest_previous_factors():
+    r = np.random.default_rng(52)
+    base = [bytes(r.integers(97, 99, 76, np.uint8)) for _ in range(6)]
+    pieces = [base[i][: r.integers(0, 30)] + base[j][: r.integers(50, 70)] for i, j in r.integers(0, 6, (300, 2))]
+    pieces = [p[:76] for p in pieces if len(p) >= 50]
+    bounds = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+    of = np.concatenate([np.full(len(p) - 49, k) for k, p in enumerate(pieces)])
+    offset = np.concatenate([np.arange(len(p) - 49) for p in pieces])
+    docs = r.integers(0, 40, len(pieces))
+    order, suffixes = repeats.suffix_order(np.frombuffer(b"".join(pieces), np.uint8), bounds, of, offset)
+    texts = [pieces[k][o:] for k, o in zip(of[order], offset[order], strict=True)]
+    assert texts == sorted(texts)
+    own = docs[of[order]]
+    for near, step in ((repeats.previous_smaller(own), -1), (repeats.next_smaller(own), 1)):
+        for k in range(len(own)):
+            j = k + step
+            while 0 <= j < len(own) and own[j] >= own[k]:
+                j += step
+            assert near[k] == j
+    factor, source = repeats.longest_previous(suffixes, own, np.array([len(t) for t in texts]))
+    earlier = {}
+    for t, d in zip(texts, own, strict=True):
+        for n in range(50, len(t) + 1):
+            earlier[t[:n]] = min(earlier.get(t[:n], d), d)
+    for t, d, f, s in zip(texts, own, factor, source, strict=True):
+        assert f == max([n for n in range(50, len(t) + 1) if earlier[t[:n]] < d], default=0)
+        assert not f or s < d
 
 
 def test_fingerprints(spark, docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
     rows = [r for r in fingerprints.fingerprints(docs).collect()]
     assert len(rows) == docs.count()
-    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    h = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 31) - 1))
+    order = [(r.doc_id, r.text or "") for r in sorted(docs.withColumn("h", h).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))]
     want = Counter()
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
@@ -256,8 +306,77 @@ def test_fingerprints(spark, docs, empty):
         if r.doc_id is not None:
             assert prints.setdefault(TEXTS[r.doc_id] or "", r.fingerprint) == r.fingerprint
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    english = spark.createDataFrame([(k, f"the cat {k} of red house and the dog {k} is on a green tree in the big town {k} by my old car " * 2) for k in range(3)], "doc_id long, text string")
-    assert fingerprints.near_duplicate_classes(english).count() == 3
+
+
+def test_fingerprints_of_many_neighbours(spark, monkeypatch):
+    """Runs of few rows, an id and a null id that fill many runs, and repeated rows."""
+    monkeypatch.setattr(fingerprints, "NEIGHBOURS", 20)
+    rows = [(k if k % 3 else (None if k % 2 else 300), f"text {k // 2} of the " + "long " * (k % 7)) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.fingerprints(df).collect()
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), -h[x[1]], x[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt, n = order[(k + 1) % len(order)][1], len(t)
+        want[(i, n, hashlib.sha256((t[: n - n // 3] + nxt[: n // 3]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
+def spots(t):
+    """The signatures of a text as a set of tuples."""
+    tokens = ["B"] + re.sub(fingerprints.GAP, " ", re.sub(r"[.!?\n]", " B ", (t or "").lower())).split() + ["E"]
+    anchors, out = {*fingerprints.ANCHORS, "B"}, set()
+    for k, w in enumerate(tokens[:-1]):
+        chain = [x for x in tokens[k + 1 :] if x not in anchors][: fingerprints.CHAIN]
+        if w in anchors and tokens[k + 1] not in anchors and len(chain) == fingerprints.CHAIN:
+            out.add((w, *chain))
+    return out
+
+
+def test_likeness_of_fingerprints(docs):
+    rows = [r for r in fingerprints.fingerprints(docs).collect() if r.doc_id is not None]
+    for r in rows:
+        own = spots(TEXTS[r.doc_id])
+        assert len(r.fingerprint) == 8 * max(1, len(own))
+    by = {r.doc_id: r for r in rows}
+    for i in range(1, len(TEXTS)):
+        if i != 7 and i != 6:  # a repeated row follows
+            a, b = spots(TEXTS[i]), spots(TEXTS[i - 1])
+            if a and b:
+                assert by[i].near_next == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_few_spots_are_no_other_kind_of_text(spark):
+    """A text with eight spots is like itself without its first word, and one without any common word like its copy."""
+    eight = "cat sat " + " ".join(f"the w{k} x{k}" for k in range(8))
+    plain = " ".join(f"q{k}" for k in range(40))
+    rows = [(4, eight), (3, eight.partition(" ")[2]), (2, plain), (1, plain[:-1] + "z")]
+    got = {r.doc_id: r.near_next for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4] == pytest.approx(8 / 10) and got[2] == 1.0
+
+
+def test_fingerprint_classes(spark):
+    """Classes by length partitions and rarest signatures against all pairs: skewed lengths, a large group, a line all share."""
+    r = np.random.default_rng(12)
+    line = "the common line of a great many texts in the world"
+    texts = [None, "", "!!", "the a", "one"]
+    base = [f"the {a} {b}" for a, b in zip(prose(31, 400).split(), prose(32, 400).split(), strict=True)]
+    for k in range(60):
+        texts.append(". ".join([line, *base[: 40 + k % 5], f"the changed{k} word{k}"]))  # one large group of near copies
+    for k in range(60):
+        own = [base[i] for i in r.choice(400, int(r.integers(1, 120)), replace=False)]
+        texts += [". ".join([line, *own]), ". ".join([line, *own[: max(1, len(own) * 8 // 10 + int(r.integers(0, 3)))]])]
+    sets = [spots(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (texts[i] or "") == (texts[j] or "") or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    got = {x.doc_id: x.class_id for x in fingerprints.near_duplicate_classes(spark.createDataFrame([*enumerate(texts), (None, texts[9])], "doc_id long, text string")).collect()}
+    assert got.pop(None) == parent[9]
+    assert got == dict(enumerate(parent))
 
 
 def test_licenses(docs, empty):
@@ -382,9 +501,32 @@ def test_warc(spark):
     got = sorted(warc.archive_pages(pages).collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
     assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "revisit", 2), (5, "response", None), (5, "response", None), (None, "revisit", 1)]
     assert got[0].payload_digest == warc.base32_sha1(html.encode()) and got[0].payload_bytes == len(html.encode()) == got[2].payload_bytes
+    named = {r.page_id: r.record_id for r in got}
+    assert [r.refers_to_id for r in got] == [named[r.refers_to] if r.refers_to else None for r in got]
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_of_many_small_archives(spark, monkeypatch):
+    """Archives of a few records, a payload of a third of all pages, and pages larger than an archive."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 900)
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 300)
+    html = [("same" if i % 3 == 0 else f"p{i // 4}") * (1 if i % 50 else 3000) for i in range(600)]
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(html)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
+    first = {}
+    for i, t in enumerate(html):
+        f = first.setdefault(t, i)
+        assert got[i] == (len(t), warc.base32_sha1(t.encode()), "response" if f == i else "revisit", None if f == i else f)
+
+
+def test_gzip_members():
+    parts = [b"", b"abc" * 9000, bytes(np.random.default_rng(1).integers(0, 256, 1 << 18, np.uint8)), b"x"]
+    packed = b"".join(b"".join(warc._members([p])) for p in parts)
+    assert warc._unpacked(packed) == b"".join(parts) and warc._unpacked(b"plain") == b"plain"
+    with pytest.raises(ValueError):
+        warc._unpacked(packed[:-5])
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_parser(version):
     parts = [warc.arc_version_block(version, "a.arc"), warc.arc_record(version, "a.arc", "http://x y", 7, "<p>\n\nhéllo</p>", 9), warc.arc_record(version, "a.arc", None, None, "", 99)]
@@ -396,7 +538,7 @@ def test_arc_parser(version):
         list(warc.parse_arc(data[:-20]))
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://x 1 2 3 4\nabcd"))
-    record = warc.warc_record(*got[1], None, False)
+    record = warc.warc_record(*got[1], None)
     (fields, block), = warc.parse_warc(record + b"\r\n\r\n")
     assert fields["warc-date"] == "1997-08-01T00:00:00Z" and block == got[1][1]
 
