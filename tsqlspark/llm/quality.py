@@ -1,10 +1,12 @@
 """Quality classifier by co-training two views of a document.
 
-The content view is a logistic regression on hashed words, the metadata view one on language, source and layout figures
-(lengths, shares of capitals, digits and symbols, line and word statistics).  Both start from the labelled rows.  In each
-round a view labels those rows of an unlabelled pool on which it is confident - beyond a threshold at which its labels
-are right for at least ``PRECISION`` of a held-out fold - and the other view learns from them.  At the end the views are
-calibrated and combined by a logistic regression on the held-out fold, and all documents are scored where they lie.
+The content view is a logistic regression on what the text says: hashed words, and shares of capitals, digits, symbols
+and distinct words.  The metadata view is one on what is known about the page: language, source, lengths and lines.  They
+share no feature.  Both start from the labelled rows.  In each round a view labels those rows of an unlabelled pool on
+which it is confident - beyond a threshold at which its labels are right for at least ``PRECISION`` of a held-out fold -
+and the other view learns from them.  At the end the views are calibrated and combined by a logistic regression on that
+fold, and all documents are scored where they lie.  A second fold takes no part in any of this; ``CoTrained.accuracy`` is
+the share of its labels that the model gives.
 
 Fitting uses a bounded sample of the rows (``max_labelled`` and ``max_pool`` documents); scoring covers every document
 and whole texts.
@@ -24,8 +26,10 @@ from .common import chunks, mix64, scan_words
 
 BUCKETS = 1 << 18
 LANGS, SOURCES, FIGURES = 16, 32, 12
+#: Places of the figures that belong to each view.
+OF_CONTENT, OF_PAGE = [0, 1, 2, 3, 5, 6, 9, 10, 11], [4, 7, 8]
 META = LANGS + SOURCES + FIGURES
-ROUNDS, PRECISION = 3, 0.98
+ROUNDS, PRECISION, RIDGE = 3, 0.98, 0.3
 TARGETS = ("quality", "toxic")
 
 
@@ -110,8 +114,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ContentView:
     """Logistic regression on distinct hashed words.
 
-    A word's weight starts from its smoothed log-odds, damped for rare words; two scales and a bias are then fitted: the
-    sum of weights over the square root of the number of words, and the sum of the clearly telling weights alone.
+    A word's weight starts from its smoothed log-odds, damped for rare words; scales and a bias are then fitted: the sum of
+    weights over the square root of the number of words, the sum of the clearly telling weights alone, and the figures.
     """
 
     def __init__(self, rows: Rows, y: np.ndarray):
@@ -126,11 +130,12 @@ class ContentView:
         z = (pos - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9) + 1)
         self.weight = (odds * (np.abs(z) > 2)).astype(np.float32)
         self.telling = (odds * (np.abs(z) > 6)).astype(np.float32)
-        self.head = Logistic(self.inputs(rows), y)
+        self.head = Logistic(self.inputs(rows), y, ridge=RIDGE)
 
     def inputs(self, rows: Rows) -> np.ndarray:
         n = np.maximum(np.diff(rows.at), 1)
-        return np.stack((_sums(self.weight[rows.words], rows.at) / np.sqrt(n), np.clip(_sums(self.telling[rows.words], rows.at), -30, 30) / 10), axis=1)
+        figures = rows.meta[:, [LANGS + SOURCES + f for f in OF_CONTENT]].astype(np.float64)
+        return np.column_stack((_sums(self.weight[rows.words], rows.at) / np.sqrt(n), np.clip(_sums(self.telling[rows.words], rows.at), -30, 30) / 10, figures))
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.head.logit(self.inputs(rows))
@@ -160,13 +165,15 @@ class Logistic:
         return ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
 
 
-class MetaView:
+class PageView:
+    """Logistic regression on language, source, lengths and lines."""
+
     def __init__(self, rows: Rows, y: np.ndarray):
-        self.head = Logistic(self.inputs(rows), y)
+        self.head = Logistic(self.inputs(rows), y, ridge=RIDGE)
 
     def inputs(self, rows: Rows) -> np.ndarray:
-        figures = rows.meta[:, LANGS + SOURCES :].astype(np.float64)
-        return np.column_stack((rows.meta, figures**2))
+        figures = rows.meta[:, [LANGS + SOURCES + f for f in OF_PAGE]].astype(np.float64)
+        return np.column_stack((rows.meta[:, : LANGS + SOURCES], figures, figures**2))
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.head.logit(self.inputs(rows))
@@ -185,11 +192,12 @@ def _confident(logit: np.ndarray, y: np.ndarray, positive: bool, least: int = 10
 class CoTrained:
     """The two views of one target and their combination."""
 
-    def __init__(self, rows: Rows, y: np.ndarray, held: np.ndarray, pool: Rows, rounds: int = ROUNDS):
-        fit, test = np.flatnonzero(~held), np.flatnonzero(held)
+    def __init__(self, rows: Rows, y: np.ndarray, fold: np.ndarray, pool: Rows, rounds: int = ROUNDS):
+        """``fold``: 0 for rows to learn from, 1 for those that thresholds and the combination are fitted on, 2 for the test."""
+        fit, test = np.flatnonzero(fold == 0), np.flatnonzero(fold == 1)
         train, check = rows.take(fit), rows.take(test)
         y_fit, y_test = y[fit].astype(np.float64), y[test].astype(np.float64)
-        views = [ContentView(train, y_fit), MetaView(train, y_fit)]
+        views = [ContentView(train, y_fit), PageView(train, y_fit)]
         self.exchanged = [0, 0]
         for _ in range(rounds):
             lent = []
@@ -198,7 +206,7 @@ class CoTrained:
                 high, low = _confident(own, y_test, True), _confident(own, y_test, False)
                 lent.append((np.flatnonzero((score >= high) | (-score >= low)), score >= high))
             learned = []
-            for kind, (picked, label), k in ((ContentView, lent[1], 0), (MetaView, lent[0], 1)):
+            for kind, (picked, label), k in ((ContentView, lent[1], 0), (PageView, lent[0], 1)):
                 more = pool.take(picked)
                 both = Rows(np.concatenate((train.words, more.words)), np.concatenate((train.at, more.at[1:] + train.at[-1])), np.concatenate((train.meta, more.meta)))
                 learned.append(kind(both, np.concatenate((y_fit, label[picked].astype(np.float64)))))
@@ -206,6 +214,9 @@ class CoTrained:
             views = learned
         self.views = views
         self.combined = Logistic(self._pair(check), y_test)
+        last = np.flatnonzero(fold == 2)
+        self.tested = len(last)
+        self.accuracy = float(np.mean((self.probability(rows.take(last)) >= 0.5) == y[last])) if len(last) else None
 
     def _pair(self, rows: Rows) -> np.ndarray:
         return np.stack([v.logit(rows) for v in self.views], axis=1)
@@ -258,12 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool:
     open_ = base.where(_pick(share)).join(ids.where(_pick(share)), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     keys, rows = _collected(known)
     _, pool = _collected(open_.withColumn("label_quality", F.lit(0)).withColumn("label_toxic", F.lit(0)).select(*columns))
-    held = mix64(keys[:, 0].astype(np.uint64) + np.uint64(17)) % np.uint64(4) == 0
+    # twelve, three and one of sixteen
+    fold = np.array([1, 0, 0, 0] * 3 + [2, 0, 0, 0])[(mix64(keys[:, 0].astype(np.uint64) + np.uint64(17)) % np.uint64(16)).astype(np.int64)]
     models = {}
     for i, target in enumerate(TARGETS, 1):
         y = keys[:, i]
-        if len(y) >= 20 and all(0 < y[part].sum() < part.sum() for part in (held, ~held)):
-            models[target] = CoTrained(rows, y, held, pool)
+        if len(y) >= 20 and all(0 < y[part].sum() < part.sum() for part in (fold == 0, fold == 1)):
+            models[target] = CoTrained(rows, y, fold, pool)
     return models
 
 
