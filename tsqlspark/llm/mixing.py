@@ -1,10 +1,13 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, targets are shared out by weight with a cap on repetition, and each document is emitted
-``floor(rate)`` times plus one hash-seeded Bernoulli copy with probability equal to the fraction of its source's rate.
-Only the table of sources (one row each) is ever regrouped; documents are read where they lie and joined to their
-source's row.  The targets come from a Newton iteration over that table (one aggregate a round), so neither documents
-nor sources are collected.
+``floor(rate)`` times plus one Bernoulli copy, drawn by a hash of its id, with probability equal to the fraction of its
+source's rate.  A source's taken tokens are its target on average; their standard deviation is the root of the sum of
+p(1 - p) size^2 over its documents, so they come near the target as documents are many and none outweighs the others.
+
+Only the table of sources (one row each) is ever regrouped; documents are read where they lie and meet their source's
+row by broadcast, up to ``MOST_SOURCES`` sources.  The targets come from a Newton iteration over that table (one aggregate
+a round), so neither documents nor sources are collected.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import with_rank, written
 
-#: Bernoulli draws looked at per source; the one whose total comes nearest the target is used.
-DRAWS = 16
+#: Rows of the table of sources that are broadcast; a larger table is joined by a shuffle.
+MOST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -25,9 +28,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(key: Column, seed) -> Column:
+def draw(key: Column) -> Column:
     """A uniform number in [0, 1) from the first 32 bits of an MD5, the same on every run and engine."""
-    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), F.lit(seed).cast("string") if isinstance(seed, int) else seed.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":0"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: Fraction, most: int) -> DataFrame:
@@ -36,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: Fraction,
     ``weights`` repeat over the sources in code-point order, null last.  What a capped source leaves is shared again by
     weight among the others until none is above its cap.
     """
-    ranked = with_rank(sizes, [F.col("source").isNull(), F.col("source")], "rank", 1 + sizes.limit(100_000).count() // 10_000)
+    ranked = with_rank(sizes, [F.col("source").isNull(), F.col("source")], "rank", 1 + sizes.count() // 10_000)
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     table = written(ranked.withColumn("weight", pick.cast("long")).withColumn("cap", F.col("source_size") * most), "sources")
     total = table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -52,6 +55,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: Fraction,
     return table.select("source", "source_size", F.when(F.col("weight") * F.lit(level) >= F.col("cap"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
+def rates(thin: DataFrame, weights: tuple[int, ...], share: Fraction, most: int) -> DataFrame:
+    """(__source, __source_size, __target, __whole, __part) for the sources of ``thin`` (source, size), broadcast if few."""
+    sizes = written(thin.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    table = source_targets(sizes, weights, share, most).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
+    table = written(table.select(*[F.col(c).alias(f"__{c}") for c in table.columns]), "rates")
+    return F.broadcast(table) if table.count() <= MOST_SOURCES else table
+
+
+def _copies() -> Column:
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    return F.col("__whole") + (draw(key) < F.col("__part")).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies) for each row of ``docs`` (doc_id, text, source).
 
@@ -59,26 +76,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction =
     of size 0 gets target 0 and no copies.  An empty table gives an empty result.  Other columns of ``docs`` are ignored.
     """
     thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
-    sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
-    targets = targets.withColumnRenamed("source", "__source")
-    rows = thin.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    extras = rows.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("base"), *[F.sum(F.when(draw(key, s) < F.col("part"), F.col("size")).otherwise(0)).alias(f"d{s}") for s in range(DRAWS)])
-    ranked = F.array_min(F.array(*[F.struct(F.abs(F.col("base") + F.col(f"d{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(DRAWS)]))
-    seeds = written(extras.select(F.col("source").alias("__source"), ranked["seed"].alias("seed")), "seeds")
-    seeded = rows.join(seeds, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    copies = F.col("whole") + (draw(key, F.col("seed")) < F.col("part")).cast("long")
-    return seeded.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"))
+    rows = thin.join(rates(thin, weights, share, most), F.col("source").eqNullSafe(F.col("__source")))
+    return rows.select("doc_id", "size", "source", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), _copies().alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; same columns as ``docs``.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; same columns as ``docs``, whatever their names.
 
     The decision depends on (doc_id, source) alone, so rows that repeat a document get that document's number of copies.
+    Documents aren't shuffled: sizes are summed in one pass, and copies made in another.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
-    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
-    return joined.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    table = rates(docs.select("source", word_count(F.col("text")).alias("size")), weights, share, most)
+    rows = docs.join(table, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__copies", _copies()).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
