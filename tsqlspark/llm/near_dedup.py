@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mix64, scan_words, shingle_hashes, written
+from .common import chunks, components, join_counted, mix64, scan_words, shingle_hashes, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a bucket by the signatures at unit rates with probability 1 - (1 - 0.8^4)^16 = 0.9998.
@@ -119,8 +119,8 @@ def linked_roots(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     ``members`` (bucket, id) must be written and without repeats; ids of one bucket are compared by their ``sets``
     (id, shingles), as the module's head says.
     """
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = written(members.join(shared, "bucket"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").withColumn("rows", F.col("n"))
+    members = written(join_counted(members, shared, "bucket"), "buckets")
     small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
     other = small.select("bucket", F.col("id").alias("b"))
     pairs = small.select("bucket", F.col("id").alias("a")).join(other, "bucket").where("a < b").select("a", "b")
@@ -129,8 +129,8 @@ def linked_roots(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     roots = components(links)
     rooted = written(large.join(roots, "id", "left").select("bucket", "id", "n", "first", F.coalesce("root", "id").alias("root")), "rooted")
     sizes = rooted.groupBy("bucket", "root").count()
-    biggest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "top")
-    outside = written(rooted.join(biggest, "bucket").where("root <> top and id <> first").select("bucket", "id", "root", "n"), "outside")
+    biggest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.count("*").alias("classes"), F.sum("count").alias("rows")).where("classes > 1").select("bucket", "top", "rows")
+    outside = written(join_counted(rooted, biggest, "bucket").where("root <> top and id <> first").select("bucket", "id", "root", "n"), "outside")
     if outside.limit(1).count() == 0:
         return roots
     parts = outside.groupBy("bucket").agg(F.ceil(F.count("*") / OUTSIDERS).alias("os"), F.ceil(F.first("n") / OTHERS).alias("ms"))
@@ -187,7 +187,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
     signed = written(rows.mapInArrow(_signatures, "doc_id long, digest string, bands array<long>"), "signatures")
     # a key of a third of all rows is reduced to one row by each task before the exchange
-    texts = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
+    texts = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "texts")
     placed = texts.where("id is not null").select("id", F.posexplode("bands").alias("band", "key"))
     placed = placed.select(F.xxhash64(F.pmod("band", F.lit(BANDS)), "key").alias("bucket"), "id").distinct()
     shared = placed.groupBy("bucket").count().where("count > 1").select("bucket")
@@ -196,8 +196,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     found = rows.join(involved, ["doc_id", "digest"], "left_semi")
     sets = written(found.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
     roots = linked_roots(members, sets, similarity)
-    final = texts.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
-    return signed.select("doc_id", "digest").join(final, "digest").select("doc_id", "class_id")
+    final = texts.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"), "rows")
+    return join_counted(signed.select("doc_id", "digest"), final, "digest").select("doc_id", "class_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
