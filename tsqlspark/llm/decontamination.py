@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, scan_words
+from .common import chunks, scan_words, written
 
 WINDOW = 8
 #: Indexed symbols and text bytes after which a shard is closed.
 SHARD_SYMBOLS, SHARD_BYTES = 1 << 21, 1 << 25
 #: Every so manieth suffix position is kept.
 SAMPLE = 8
-#: Benchmark text that is sent to the tasks at a time; a larger benchmark is searched in blocks, one pass each.
-BLOCK_BYTES = 1 << 25
+#: Benchmark text that is sent to the tasks at a time; a larger benchmark is searched in blocks, one pass each.  The
+#: patterns of a block take about ten times its bytes, in the driver and in each task.
+BLOCK_BYTES = 1 << 22
 
 END, BREAK = 0, 1  # the smallest symbols; vocabulary follows
 
@@ -274,15 +275,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     """
     taken = {"n_words", "n_hit", "items", "spans"} & set(docs.columns)
     docs = docs.drop(*taken)
-    blocks = [Windows(*b, width) for b in _blocks(benchmark, block_bytes)] if block_bytes else []
-    if len(blocks) == 1:
-        return _pass(docs, blocks[0])
-    # one pass a block over the distinct texts, then the blocks' spans are merged per text
-    texts = docs.select("text").where("text is not null").distinct()
+    blocks = _blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _pass(docs, Windows(*block, width))
+    # one pass a block over the distinct texts, each written before the next block is built; then spans are merged per text
+    texts = written(docs.select("text").where("text is not null").distinct(), "texts")
     found = None
-    for block in blocks:
-        one = _pass(texts, block).where("n_hit > 0").select(F.md5("text").alias("__key"), "items", "spans")
+    while block is not None:
+        one = written(_pass(texts, Windows(*block, width)).where("n_hit > 0").select(F.md5("text").alias("__key"), "items", "spans"), "block")
         found = one if found is None else found.unionByName(one)
+        block, following = following, next(blocks, None)
     flat = found.groupBy("__key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     merged = F.expr("aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, s) -> if(size(a) > 0 and s.start <= element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, s.end) as end))), concat(a, array(s))))")
     flat = flat.withColumn("spans", merged)
@@ -295,11 +298,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most_items: int = 1, width: int = WINDOW) -> DataFrame:
     """The documents that hold windows of at most ``most_items`` items, with the spans of those windows cut out.
 
-    Documents without a hit come back as they are; a cut text gets its new length in ``n_chars``.  Same columns as
-    ``docs`` (doc_id, text, n_chars and any others).
+    Documents without a hit come back as they are; a cut text gets its new length in ``n_chars``, if there is that column.
+    Same columns as ``docs`` (doc_id, text and any others, whatever their names).  Null texts stay; repeated rows are rows
+    of their own; an empty table on either side is fine.
     """
-    found = contamination(docs, benchmark, width).where(F.size("items") <= most_items)
+    found = contamination(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), benchmark, width).where(F.size("items") <= most_items)
     kept = F.expr("decode(aggregate(reverse(spans), encode(text, 'UTF-8'), (b, s) -> concat(substring(b, 1, s.start), substring(b, s.end + 1))), 'UTF-8')")
-    cut = found.withColumn("__cut", F.when(F.size("spans") > 0, kept))
-    length = F.when(F.size("spans") > 0, F.length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.select(*[F.coalesce("__cut", "text").alias("text") if c == "text" else length.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    cut = found.select("row", F.when(F.size("spans") > 0, kept).alias("cut"))
+
+    def column(c: str) -> F.Column:
+        own = F.col("row")[c]
+        if c == "text":
+            own = F.coalesce("cut", own)
+        elif c == "n_chars":
+            own = F.when(F.col("cut").isNotNull(), F.length("cut").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return cut.select(*[column(c) for c in docs.columns])
