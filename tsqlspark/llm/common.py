@@ -21,12 +21,18 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``, or that of the context.
+
+    Only where both are unset and everything runs in one machine is a temporary folder made; on a cluster that would lose
+    rows, so it raises RuntimeError.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpus-scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

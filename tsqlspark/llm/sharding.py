@@ -95,8 +95,9 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.002, probes: in
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of ``docs`` (doc_id, text).
 
-    Shards have near-equal bytes; slots count from 0 without gaps in key order.  Copies of a text lie side by side and in
-    one shard unless a splitter must cut through them.  Null texts count 1 byte; null ids count as -1; rows that repeat a
+    Shards have near-equal bytes; slots count from 0 without gaps in key order, rows of one text and id in any order.
+    Copies of a text lie side by side and in one shard, but for those that a splitter cuts through: one group of copies
+    for each of the ``shards - 1`` splitters at most.  Null texts count 1 byte; null ids count as -1; rows that repeat a
     document are rows of their own.  Fewer rows than shards leave some shards empty.  Other columns are ignored.
     """
     thin = written(keyed(docs).withColumn("id", _axis()), "keys")
@@ -129,7 +130,11 @@ def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The documents (all columns of ``docs``) with ``shard`` and ``slot``: one exchange by range of whole rows."""
+    """The documents (all columns of ``docs``) with ``shard`` and ``slot``: one exchange by range of whole rows.
+
+    Columns of those two names are replaced.  Null texts count 1 byte, null ids as -1; an empty table gives an empty result.
+    """
+    docs = docs.drop("shard", "slot")
     rows = docs.withColumn("__id", _axis()).withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 2))
     thin = written(rows.select(F.col("__h").alias("h"), F.col("__id").alias("id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")), "keys")
     number = F.lit(0)
