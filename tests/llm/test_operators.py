@@ -226,6 +226,13 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(parent))
 
 
+def test_near_duplicates_of_short_texts_alone(spark):
+    """Tasks that hold a few words altogether."""
+    for texts in (["one two"], ["a", "a", "b c d e"], ["", None], ["a b c d e", "a b c d e!"]):
+        got = near_dedup.near_duplicate_classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id: r.class_id for r in got} == {i: next(j for j, u in enumerate(texts) if (u or "") == (t or "") or words(t) and words(u) == words(t)) for i, t in enumerate(texts)}
+
+
 def test_large_buckets(spark, monkeypatch):
     """A chain of neighbours that are alike, in buckets compared block against block."""
     monkeypatch.setattr(near_dedup, "SMALL", 2)

@@ -140,7 +140,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     take = np.minimum(np.repeat(first[1:], counts) - np.arange(n), width)
     for i in range(width):
         shifted = np.zeros(n, np.uint64)
-        shifted[: n - i or None] = words[i:] if i else words
+        shifted[: max(0, n - i)] = words[i:]
         acc = np.where(take > i, mix64(acc * np.uint64(3) + shifted), acc)
     begins = np.arange(n) == np.repeat(first[:-1], counts)
     keep = (take == width) | (begins & (np.repeat(counts, counts) < width))
