@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
-from datetime import date, datetime
+from datetime import UTC, datetime
 from decimal import Decimal
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
 
 from . import types as ty
 from .errors import TsqlError
@@ -40,6 +41,40 @@ class _Return(Exception):
     pass
 
 
+#: Errors that end their statement only, without XACT_ABORT.
+STATEMENT_ERRORS = {220, 512, 515, 535, 536, 537, 547, 2601, 2627, 2628, 3623, 8115, 8134}
+
+
+class ResultFrame(ClassicFrame):
+    """A result set whose errors while rows are read have the dialect's numbers; the session's @@ERROR sees them."""
+
+    @classmethod
+    def of(cls, df: DataFrame, session: TsqlSession) -> ResultFrame:
+        found = cls(df._jdf, df.sparkSession)
+        found._tsql = session
+        return found
+
+
+def _reading(name: str):
+    plain = getattr(ClassicFrame, name)
+
+    def action(self, *args, **kwargs):
+        try:
+            return plain(self, *args, **kwargs)
+        except PySparkException as e:
+            error = runtime_error(e)
+            if "_tsql" in self.__dict__:
+                self._tsql.error = error.number
+            raise error from e
+
+    action.__name__, action.__doc__ = name, plain.__doc__
+    return action
+
+
+for _name in ("collect", "count", "first", "foreach", "foreachPartition", "head", "isEmpty", "show", "tail", "take", "toArrow", "toLocalIterator", "toPandas"):
+    setattr(ResultFrame, _name, _reading(_name))
+
+
 class TsqlSession:
     """``sql`` runs a batch and gives its last result set; ``execute`` gives everything that it sends."""
 
@@ -56,7 +91,8 @@ class TsqlSession:
         self.options: dict[str, str] = {"ANSI_NULLS": "ON", "QUOTED_IDENTIFIER": "ON", "NOCOUNT": "OFF", "XACT_ABORT": "OFF", "ANSI_WARNINGS": "ON", "ARITHABORT": "ON"}
         self.date_first = 7
         self.variables: dict[str, tuple[SqlType, object]] = {}
-        self.rowcount = 0
+        self._rows: int | DataFrame = 0
+        self._unread: DataFrame | None = None
         self.error = 0
         self.identity: int | None = None
         self.identity_insert: str | None = None
@@ -67,7 +103,28 @@ class TsqlSession:
         self.serial = 0
         self.keeps_order = False
         self.results: list[Result] = []
-        self.now = datetime.now()
+        self.now = datetime.now(UTC)
+
+    @property
+    def rowcount(self) -> int:
+        """Rows of the last statement; those of a result set are counted once, when they are asked for."""
+        if not isinstance(self._rows, int):
+            self._rows = self._rows.count()
+        return self._rows
+
+    @rowcount.setter
+    def rowcount(self, n: int | DataFrame) -> None:
+        self._rows = n
+
+    def read(self) -> None:
+        """Evaluate the last result set, whose errors a later statement asks for."""
+        df, self._unread = self._unread, None
+        if df is None or df.isStreaming:
+            return
+        try:
+            df.write.format("noop").mode("overwrite").save()
+        except PySparkException as e:
+            raise runtime_error(e) from e
 
     # -- tables ------------------------------------------------------------------------------------------------------
     @property
@@ -198,8 +255,15 @@ class TsqlSession:
         return Bound(str(value) if plain else f"CAST('{value}' AS {t.spark()})", t, literal=value if t.is_integer or isinstance(value, Decimal) else None)
 
     def _global(self, name: str) -> Bound:
+        if name == "@@rowcount":
+            return self.typed(ty.INT, self.rowcount)
+        if name == "@@error":
+            try:
+                self.read()
+            except TsqlError as e:
+                self.fail(e)
         values = {
-            "@@rowcount": (ty.INT, self.rowcount), "@@error": (ty.INT, self.error), "@@trancount": (ty.INT, len(self.transactions)), "@@identity": (ty.decimal(38, 0), self.identity), "@@spid": (SqlType("smallint"), 51),
+            "@@error": (ty.INT, self.error), "@@trancount": (ty.INT, len(self.transactions)), "@@identity": (ty.decimal(38, 0), self.identity), "@@spid": (SqlType("smallint"), 51),
             "@@servername": (ty.nvarchar(128), "localhost"), "@@servicename": (ty.nvarchar(128), "MSSQLSERVER"), "@@version": (ty.nvarchar(300), "T-SQL on Spark"), "@@max_precision": (SqlType("tinyint"), 38),
             "@@lock_timeout": (ty.INT, int(self.options.get("LOCK_TIMEOUT", -1))), "@@microsoftversion": (ty.INT, 268435456), "@@datefirst": (SqlType("tinyint"), self.date_first), "@@nestlevel": (ty.INT, self.level), "@@language": (ty.nvarchar(128), "us_english"),
         }
@@ -208,8 +272,11 @@ class TsqlSession:
         return self.typed(*values[name])
 
     def now_sql(self, zone: str) -> str:
-        stamp = self.now if zone == "local" else self.now
-        return f"TIMESTAMP_NTZ'{stamp:%Y-%m-%d %H:%M:%S}.{stamp.microsecond // 1000:03d}'"
+        """The statement's time as a timestamp literal: "local" or "utc", with milliseconds or, as "precise", all digits."""
+        kind, _, digits = zone.partition(" ")
+        stamp = self.now.astimezone() if kind == "local" else self.now
+        part = f"{stamp.microsecond:06d}" if digits else f"{stamp.microsecond // 1000:03d}"
+        return f"TIMESTAMP_NTZ'{stamp:%Y-%m-%d %H:%M:%S}.{part}'"
 
     def constant(self, binder: Binder, e: Node):
         """The value of an expression without columns."""
@@ -266,8 +333,13 @@ class TsqlSession:
                 if not self.test(node):
                     at = target
             else:
-                self.now = datetime.now()
-                self.statement(node)
+                self.now = datetime.now(UTC)
+                try:
+                    self.statement(node)
+                except TsqlError as e:
+                    if e.number not in STATEMENT_ERRORS or self.options.get("XACT_ABORT") == "ON":
+                        raise
+                    self.fail(e)
 
     def test(self, e: Node) -> bool:
         """A condition; one that fails isn't true."""
@@ -294,7 +366,7 @@ class TsqlSession:
             if s.kind not in ("exec", "exec_text", "rollback", "commit"):
                 self.catalog.databases = before
             raise
-        if s.kind not in ("label", "goto", "print"):
+        if s.kind not in ("label", "goto"):
             self.error = 0
 
     def counted(self, n: int) -> None:
@@ -311,7 +383,7 @@ class TsqlSession:
             df = self.spark.sql(sql)
         except PySparkException as e:
             raise runtime_error(e) from e
-        return df.toDF(*[n for n, _ in cols])
+        return ResultFrame.of(df.toDF(*[n for n, _ in cols]), self)
 
     def do_select(self, s: Node) -> None:
         spec = s.query.body
@@ -320,9 +392,11 @@ class TsqlSession:
         if spec.kind == "query_spec" and spec.into:
             return self._into(s.query)
         df = self.frame(s.query)
+        self._unread = df
+        if self.transactions and self.options.get("XACT_ABORT") == "ON":
+            self.read()  # an error would end the transaction
         self.results.append(Result("rows", df=df))
-        self._lazy = df
-        self.rowcount = _Rows(df)
+        self.rowcount = df
 
     def _assign(self, q: Node) -> None:
         spec = q.body
@@ -373,16 +447,24 @@ class TsqlSession:
         row = Row(self)
         steps = [row.to(row.value(i.value, scope), self.variables[n][0]).sql for n, i in zip(names, spec.items, strict=True)]
         where = f" WHERE {binder.condition(spec.where, scope)}" if spec.where is not None else ""
-        order = ", ".join(f"{binder.value(e, scope).sql}{' DESC' if d else ''}" for e, d in q.order)
+        keys = [(binder.collated(binder.value(e, scope)).sql, d) for e, d in q.order]
         start = ", ".join(f"{self.variable(n).sql} AS v{i}" for i, n in enumerate(names))
         # later assignments of a row see the earlier ones
         body = "acc"
         for i, step in enumerate(steps):
             fields = ", ".join(f"{step if k == i else f'acc.v{k}'} AS v{k}" for k in range(len(names)))
             body = f"transform(array({body}), acc -> struct({fields}))[0]" if i else f"struct({fields})"
-        inner = f"SELECT {', '.join(f'{c} AS c{i}' for i, c in enumerate(columns)) or '1 AS c0'} FROM {sql_from}{where}{' ORDER BY ' + order if order else ''}"
-        picked = f"struct({', '.join(f'c{i}' for i in range(max(1, len(columns))))})"
-        out = self.spark.sql(f"SELECT aggregate(collect_list({picked}), struct({start}), (acc, x) -> {body}) AS v, count(*) AS n FROM ({inner})").first()
+        inner = f"SELECT {', '.join(f'{c} AS c{i}' for i, c in enumerate(columns)) or '1 AS c0'}{''.join(f', {k} AS k{i}' for i, (k, _) in enumerate(keys))} FROM {sql_from}{where}"
+        # the rows of a fold are one value; they are put in order within it
+        picked = f"struct({', '.join([*(f'c{i}' for i in range(max(1, len(columns)))), *(f'k{i}' for i in range(len(keys)))])})"
+        gathered = f"collect_list({picked})"
+        if keys:
+            compare = "0"
+            for i, (_, d) in reversed(list(enumerate(keys))):
+                less, more = (1, -1) if d else (-1, 1)
+                compare = f"CASE WHEN l.k{i} <=> r.k{i} THEN {compare} WHEN l.k{i} IS NULL THEN {less} WHEN r.k{i} IS NULL THEN {more} WHEN l.k{i} < r.k{i} THEN {less} ELSE {more} END"
+            gathered = f"array_sort({gathered}, (l, r) -> {compare})"
+        out = self.spark.sql(f"SELECT aggregate({gathered}, struct({start}), (acc, x) -> {body}) AS v, count(*) AS n FROM ({inner})").first()
         for i, n in enumerate(names):
             t, _ = self.variables[n]
             self.variables[n] = (t, out["v"][i])
@@ -410,8 +492,9 @@ class TsqlSession:
             raise TsqlError(1038, "An object or column name is missing or empty.")
         if len({n.lower() for n in names}) < len(names):
             raise TsqlError(2705, "Column names in each table must be unique.")
-        df = dml.stored(self, self.spark.sql(sql).toDF(*names))
-        table = Table(target[-2] if len(target) > 1 else "dbo", target[-1], self.catalog.next_id(), tuple(Column(n, t) for n, t in cols), df, self.new_view(df))
+        piece = dml.stored(self, self.spark.sql(sql).toDF(*names))
+        df = piece.drop("__rid")
+        table = Table(target[-2] if len(target) > 1 else "dbo", target[-1], self.catalog.next_id(), tuple(Column(n, t) for n, t in cols), df, self.new_view(df), pieces=(piece,))
         self.tables[table.key] = table
         self.counted(df.count())
 
@@ -518,10 +601,15 @@ class TsqlSession:
             self.catalog.databases.pop(found, None)
 
     def do_alter_database(self, s: Node) -> None:
-        pass
+        """Settings of a database have no meaning here; the database must be there."""
+        name = s.get("name")
+        if name and name.upper() != "CURRENT" and not any(d.lower() == name.lower() for d in self.catalog.databases):
+            raise TsqlError(5011, f"User does not have permission to alter database '{name}', the database does not exist, or the database is not in a state that allows access checks.")
 
     def do_create_schema(self, s: Node) -> None:
-        pass
+        if s.name.lower() in ("dbo", "sys", "information_schema", *[n.lower() for n in self.catalog.schemas.get(self.database, [])]):
+            raise TsqlError(2714, f"There is already an object named '{s.name}' in the database.")
+        self.catalog.schemas.setdefault(self.database, []).append(s.name)
 
     def _column(self, c: Node, constraints: list[Node], table: str) -> Column:
         if c.type is None:
@@ -613,7 +701,7 @@ class TsqlSession:
         t = self._keys(replace(t, columns=tuple(columns)), s.constraints)
         new = dml.with_computed(self, t, df)
         dml.violations(self, t, new)
-        dml.publish(self, t, dml.stored(self, new))
+        dml.publish(self, t, (dml.stored(self, new),))
 
     def do_alter_drop(self, s: Node) -> None:
         t = self.table(s.table)
@@ -739,18 +827,6 @@ class TsqlSession:
             self._store(target, Bound("", inner[name][0]), inner[name][1])
 
 
-class _Rows(int):
-    """The row count of a result set, counted only when it is asked for."""
-
-    def __new__(cls, df):
-        self = super().__new__(cls, 0)
-        self.df = df
-        return self
-
-    def __str__(self) -> str:
-        return str(self.df.count())
-
-
 def mentions(e, names: set[str]) -> bool:
     if isinstance(e, (list, tuple)):
         return any(mentions(x, names) for x in e)
@@ -830,4 +906,4 @@ def runtime_error(e: PySparkException) -> TsqlError:
     return TsqlError(50000, text.split("\n")[0][:400])
 
 
-__all__ = ["BINARY", "Result", "TsqlSession", "date"]
+__all__ = ["BINARY", "Result", "ResultFrame", "TsqlSession"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -64,6 +64,8 @@ class Table:
     checks: tuple[Check, ...] = ()
     next_identity: int | None = None
     last_identity: int | None = None
+    #: The frames that make up ``df``, each written with its rows' numbers ``__rid``; none for a frame of the user's.
+    pieces: tuple[DataFrame, ...] = ()
 
     @property
     def key(self) -> str:
@@ -80,6 +82,7 @@ class Table:
 class Catalog:
     databases: dict[str, dict[str, Table]] = field(default_factory=lambda: {"master": {}})
     serial: int = 100
+    schemas: dict[str, list[str]] = field(default_factory=dict)
 
     def next_id(self) -> int:
         self.serial += 1
@@ -139,7 +142,7 @@ def view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tup
     if name == "sys.databases":
         return ["name", "database_id", "create_date", "compatibility_level", "collation_name", "state_desc"], [(n, i + 1, CREATED, 160, collation, "ONLINE") for i, n in enumerate(catalog.databases)]
     if name == "sys.schemas":
-        return ["name", "schema_id", "principal_id"], [("dbo", 1, 1), ("INFORMATION_SCHEMA", 3, 3), ("sys", 4, 4)]
+        return ["name", "schema_id", "principal_id"], [("dbo", 1, 1), ("INFORMATION_SCHEMA", 3, 3), ("sys", 4, 4), *[(n, i + 5, 1) for i, n in enumerate(catalog.schemas.get(database, []))]]
     if name == "sys.types":
         rows = [(n, i, i, 4, None, s or 8000, 0, 0, collation if "char" in n else None, 1, 0, 0) for n, (i, s) in TYPE_IDS.items()]
         return ["name", "system_type_id", "user_type_id", "schema_id", "principal_id", "max_length", "precision", "scale", "collation_name", "is_nullable", "is_user_defined", "is_table_type"], rows
@@ -189,7 +192,7 @@ def view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tup
                 rows.append((database, t.schema, t.name, c.name, i + 1, None, "YES" if c.nullable else "NO", k.name, k.n if text else None, (_size(k) if text else None), _precision(k) if k.is_exact or k.is_float else None, (2 if k.is_float else 10) if k.is_exact or k.is_float else None, k.exact()[1] if k.is_exact else None, {"datetime": 3, "date": 0, "smalldatetime": 0}.get(k.name, k.s) if k.is_date else None, ("UNICODE" if k.name[0] == "n" else "iso_1") if k.is_string else None, collation if k.is_string else None))
         return ["TABLE_CATALOG", "TABLE_SCHEMA", "TABLE_NAME", "COLUMN_NAME", "ORDINAL_POSITION", "COLUMN_DEFAULT", "IS_NULLABLE", "DATA_TYPE", "CHARACTER_MAXIMUM_LENGTH", "CHARACTER_OCTET_LENGTH", "NUMERIC_PRECISION", "NUMERIC_PRECISION_RADIX", "NUMERIC_SCALE", "DATETIME_PRECISION", "CHARACTER_SET_NAME", "COLLATION_NAME"], rows
     if name == "information_schema.schemata":
-        return ["CATALOG_NAME", "SCHEMA_NAME", "SCHEMA_OWNER"], [(database, s, s) for s in ("dbo", "INFORMATION_SCHEMA", "sys")]
+        return ["CATALOG_NAME", "SCHEMA_NAME", "SCHEMA_OWNER"], [(database, s, s) for s in ("dbo", "INFORMATION_SCHEMA", "sys", *catalog.schemas.get(database, []))]
     if name == "information_schema.table_constraints":
         word = {"PK": "PRIMARY KEY", "UQ": "UNIQUE", "F": "FOREIGN KEY", "C": "CHECK"}
         return ["CONSTRAINT_CATALOG", "CONSTRAINT_SCHEMA", "CONSTRAINT_NAME", "TABLE_CATALOG", "TABLE_SCHEMA", "TABLE_NAME", "CONSTRAINT_TYPE", "IS_DEFERRABLE", "INITIALLY_DEFERRED"], [(database, t.schema, c.name, database, t.schema, t.name, word[k], "NO", "NO") for t, k, c, _ in constraints if k != "D"]
@@ -207,7 +210,3 @@ def column_type(name: str) -> SqlType:
     if name in _INTS or name.startswith("is_"):
         return ty.INT
     return ty.DATETIME2 if name.endswith("_date") else ty.nvarchar(4000)
-
-
-def renamed(table: Table, **changes) -> Table:
-    return replace(table, **changes)
