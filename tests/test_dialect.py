@@ -123,3 +123,76 @@ def test_stream(spark, tmp_path):
     session = TsqlSession(spark)
     session.register("ticks", spark.readStream.format("rate").load())
     assert session.sql("SELECT value * 2 AS v FROM ticks WHERE value > 3").isStreaming
+
+
+def test_errors_while_rows_are_read(spark):
+    """They have the dialect's numbers, end their statement only, and are seen by @@ERROR."""
+    session = TsqlSession(spark)
+    df = session.sql("SELECT 1 / (a - 1) AS v FROM (VALUES (1)) t(a)")
+    for read in (df.collect, df.toPandas, df.show, lambda: df.head(1)):
+        with pytest.raises(TsqlError) as e:
+            read()
+        assert e.value.number == 8134
+    assert session.error == 8134
+    sent = session.execute("SELECT a / (a - 1) AS v FROM (VALUES (1)) t(a); IF @@ERROR = 8134 PRINT 'seen'; PRINT 'on'")
+    assert [(r.kind, r.number or r.text) for r in sent if r.kind != "rows"] == [("error", 8134), ("message", "seen"), ("message", "on")]
+    sent = session.execute("CREATE TABLE e (k int PRIMARY KEY); INSERT INTO e VALUES (1); INSERT INTO e VALUES (1); INSERT INTO e VALUES (2); SELECT COUNT(*) AS n FROM e")
+    assert [r.number for r in sent if r.kind == "error"] == [2627] and sent[-1].df.collect()[0][0] == 2
+    sent = session.execute("SET XACT_ABORT ON; BEGIN TRAN; DELETE FROM e; SELECT 1 / (k - k) AS v FROM (VALUES (1)) t(k); PRINT 'never'")
+    assert sent[-1].number == 8134 and not session.transactions
+    assert rows(session, "SELECT COUNT(*) AS n FROM e") == [(2,)]
+    for text, number in (("SELECT LEFT('abc', a) AS v FROM (VALUES (-1)) t(a)", 536), ("SELECT SUBSTRING('abc', 1, a) AS v FROM (VALUES (-1)) t(a)", 537), ("SELECT DATEDIFF(second, a, '2020-01-01') AS v FROM (VALUES ('1900-01-01')) t(a)", 535), ("SELECT CAST(a AS int) AS v FROM (VALUES ('x')) t(a)", 245)):
+        with pytest.raises(TsqlError) as e:
+            rows(session, text)
+        assert e.value.number == number, text
+
+
+def test_row_counts(tsql):
+    assert rows(tsql, "SELECT v FROM (VALUES (1), (2), (3)) t(v); SELECT TOP (@@ROWCOUNT) v FROM (VALUES (1), (2), (3), (4)) t(v) ORDER BY v") == [(1,), (2,), (3,)]
+    assert rows(tsql, "SELECT v FROM (VALUES (1), (2)) t(v); SELECT @@ROWCOUNT + 1 AS n") == [(3,)]
+
+
+def test_computed_patterns(tsql):
+    """A pattern of a row means the same as the literal."""
+    texts = ["abc", "ABC ", "a]c", "a[c", "5%", "5x", "a_b", "xay", "", "a\\b", "^a", "a-c", "(a+b)*"]
+    patterns = ["[a-b]%", "_B_", "a[]]c", "a[[]c", "5[%]", "[^x]%", "abc", "a!_b", "%", "", "a\\b", "[^^]a", "%[-]%", "(a+b)*", "[", "a[", "[^]"]
+    for t in texts:
+        cases = [f"CASE WHEN '{t}' LIKE '{p}' THEN 1 ELSE 0 END" for p in patterns]
+        literal = rows(tsql, f"SELECT {', '.join(f'{c} AS c{i}' for i, c in enumerate(cases))}")[0]
+        values = ", ".join(f"('{p}', {i})" for i, p in enumerate(patterns))
+        computed = rows(tsql, f"SELECT CASE WHEN '{t}' LIKE p THEN 1 ELSE 0 END AS v FROM (VALUES {values}) x(p, k) ORDER BY k")
+        assert list(literal) == [v for (v,) in computed], t
+    assert rows(tsql, "SELECT x FROM (VALUES ('5%', '5!%'), ('5x', '5!%'), ('a_b', 'a!_b')) t(x, p) WHERE x LIKE p ESCAPE '!'") == [("5%",), ("a_b",)]
+
+
+def test_ties_and_ordered_folds(tsql):
+    assert rows(tsql, "SELECT TOP 2 WITH TIES v, k FROM (VALUES (1, 'a'), (2, 'b'), (2, 'B'), (3, 'c')) t(v, k) ORDER BY k") == [(1, "a"), (2, "b"), (2, "B")]
+    assert rows(tsql, "SELECT TOP 2 WITH TIES v FROM (VALUES (1), (NULL), (NULL), (NULL)) t(v) ORDER BY v") == [(None,), (None,)]
+    assert rows(tsql, "SELECT TOP 9 WITH TIES v FROM (VALUES (1), (NULL)) t(v) ORDER BY v DESC") == [(1,), (None,)]
+    assert rows(tsql, "SELECT TOP 2 WITH TIES a, b FROM (VALUES (1, 5), (1, 4), (1, 4), (2, 1)) t(a, b) ORDER BY a DESC, b") == [(2, 1), (1, 4), (1, 4)]
+    assert rows(tsql, "DECLARE @s varchar(20) = ''; SELECT @s = @s + v FROM (VALUES ('b', 2, 1), ('a', 1, 1), ('c', 1, 0)) t(v, k, j) ORDER BY j DESC, k; SELECT @s AS s") == [("abc",)]
+
+
+def test_writes_to_a_frame_that_is_not_a_file(spark):
+    """Rows are found again by stored numbers, whatever order the frame's rows come in; many inserts are put together."""
+    session = TsqlSession(spark)
+    session.register("t", spark.range(1000).selectExpr("cast(id AS int) AS k", "cast(id % 7 AS int) AS v").repartition(7, "v"))
+    assert rows(session, "UPDATE t SET v = k WHERE k % 3 = 0; DELETE FROM t WHERE k % 5 = 0; SELECT COUNT(*) AS n, SUM(CASE WHEN v = CASE WHEN k % 3 = 0 THEN k ELSE k % 7 END THEN 0 ELSE 1 END) AS wrong FROM t") == [(800, 0)]
+    session.sql("CREATE TABLE many (k int PRIMARY KEY)")
+    for k in range(40):
+        session.sql(f"INSERT INTO many VALUES ({k})")
+    assert len(session.table(["many"]).pieces) < 34
+    assert rows(session, "DELETE FROM many WHERE k % 2 = 1; UPDATE many SET k = k + 1 WHERE k > 30; SELECT COUNT(*) AS n, SUM(k) AS s FROM many") == [(20, sum(range(0, 40, 2)) + 4)]
+
+
+def test_catalogue_procedures(spark):
+    session = TsqlSession(spark)
+    session.sql("CREATE TABLE p (k varchar(5) PRIMARY KEY, j int); CREATE TABLE c (k varchar(5) CONSTRAINT f REFERENCES p (k), v int); CREATE INDEX ix ON c (v)")
+    assert [r[7] for r in rows(session, "EXEC sp_fkeys @fktable_name = 'C'")] == ["k"] and rows(session, "EXEC sp_special_columns 'p'")[0][1] == "k"
+    assert [r[5] for r in rows(session, "EXEC sp_statistics 'c'")] == [None, "ix"] and rows(session, "EXEC sp_stored_procedures") == []
+    assert rows(session, "EXEC sp_describe_undeclared_parameters N'SELECT * FROM p WHERE j > @a AND k LIKE @b'") == [(1, "@a", "int"), (2, "@b", "varchar(5)")]
+    assert rows(session, "EXEC sp_spaceused 'p'")[0][:2] == ("p", "0") and rows(session, "EXEC sp_datatype_info 4")[0][0] == "int"
+    for text, number in (("EXEC sp_fkeys", 15252), ("EXEC sp_spaceused 'nope'", 15009), ("ALTER DATABASE nope SET RECOVERY SIMPLE", 5011), ("CREATE SCHEMA dbo", 2714)):
+        with pytest.raises(TsqlError) as e:
+            session.sql(text)
+        assert e.value.number == number

@@ -118,11 +118,11 @@ def to_text(x, style: int | None) -> str:
             return f"format_number({sql}, 2)"
         return f"CAST({sql} AS STRING)" if style in (2, 126) else f"CAST(CAST({sql} AS DECIMAL(19,2)) AS STRING)"
     if f.is_float:
-        # six significant digits, without trailing zeros
+        # six significant digits, without trailing zeros; the exponent has three
         whole = f"CAST({sql} AS DOUBLE)"
         scale = f"greatest(0, 5 - CAST(floor(log10(abs({whole}))) AS INT))"
         short = f"regexp_replace(format_string(concat('%.', {scale}, 'f'), {whole}), '(\\\\.[0-9]*?)0+$|\\\\.$', '$1')"
-        return f"(CASE WHEN {sql} = 0 THEN '0' WHEN abs({whole}) >= 1000000 OR abs({whole}) < 0.0001D THEN regexp_replace(format_string('%.5e', {whole}), '(\\\\.[0-9]*?)0+e', '$1e') ELSE regexp_replace({short}, '\\\\.$', '') END)"
+        return f"(CASE WHEN {sql} = 0 THEN '0' WHEN abs({whole}) >= 1000000 OR abs({whole}) < 0.0001D THEN regexp_replace(regexp_replace(format_string('%.5e', {whole}), '\\\\.?0+e', 'e'), 'e([+-])([0-9][0-9])$', 'e$10$2') ELSE regexp_replace({short}, '\\\\.$', '') END)"
     if f.is_binary:
         return f"concat('0x', hex({sql}))" if style == 1 else f"hex({sql})" if style == 2 else f"decode({sql}, 'UTF-8')"
     if f.name == "time":

@@ -69,7 +69,7 @@ def _nullif(b, x, y):
 @scalar("LEN", 1)
 def _len(b, x):
     s = text(b, x)
-    return bound(f"length(rtrim({s.sql}))", ty.BIGINT if s.type.n == ty.MAX and x.type.is_string and False else ty.INT)
+    return bound(f"length(rtrim({s.sql}))", ty.BIGINT if s.type.n == ty.MAX and x.type.is_string else ty.INT)
 
 
 @scalar("DATALENGTH", 1)
@@ -94,6 +94,8 @@ def _side(name, number_):
         k = number(b, n).sql
         if isinstance(n.literal, int) and n.literal < 0:
             raise TsqlError(number_, f"Invalid length parameter passed to the {name} function.")
+        if not isinstance(n.literal, int):
+            k = f"(CASE WHEN {k} < 0 THEN CAST(raise_error('Msg {number_}: Invalid length parameter passed to the {name} function.') AS INT) ELSE {k} END)"
         return bound(f"{name.lower()}({s.sql}, {k})", vary(s.type))
 
     return fn
@@ -114,6 +116,8 @@ def _substring(b, x, start, size):
     a, n = number(b, start).sql, number(b, size).sql
     if isinstance(size.literal, int) and size.literal < 0:
         raise TsqlError(537, "Invalid length parameter passed to the SUBSTRING function.")
+    if not isinstance(size.literal, int):
+        n = f"(CASE WHEN {n} < 0 THEN CAST(raise_error('Msg 537: Invalid length parameter passed to the SUBSTRING function.') AS INT) ELSE {n} END)"
     if isinstance(start.literal, int) and start.literal >= 1:
         return bound(f"substring({s.sql}, {a}, {n})", vary(s.type) if s.type.is_string else s.type)
     return bound(f"substring({s.sql}, greatest({a}, 1), greatest(0, {a} + {n} - greatest({a}, 1)))", vary(s.type) if s.type.is_string else s.type)
@@ -138,11 +142,15 @@ def _charindex(b, needle, hay, start=None):
 
 @scalar("PATINDEX", 2)
 def _patindex(b, pattern, hay):
-    from ..plans.binder import like_regex, quote
+    from ..plans.binder import like_regex, like_regex_sql, quote
 
     h = text(b, hay)
     if not isinstance(pattern.literal, str):
-        raise TsqlError(50000, "PATINDEX needs a literal pattern.")
+        # the pattern without its outer percent signs; where the text may begin and end tells which there were
+        p = text(b, pattern).sql
+        regex = "concat({mode}, if(startswith(p, '%'), '', '^'), {body}, if(endswith(p, '%') AND p <> '%', '', ' *$'))".format(mode=quote("(?is)" if b.session.insensitive(hay.collation or pattern.collation) else "(?s)"), body=like_regex_sql("regexp_replace(p, '^%|%$', '')", None))
+        at = f"transform(array(struct({h.sql} AS h, {p} AS p)), x -> transform(array(x.p), p -> regexp_instr(x.h, {regex}))[0])[0]"
+        return bound(f"(CASE WHEN {p} IN ('', '%') THEN CASE WHEN {h.sql} IS NULL THEN NULL WHEN {p} = '%' THEN 1 WHEN rtrim({h.sql}) = '' THEN 1 ELSE 0 END ELSE {at} END)", ty.INT)
     p = pattern.literal
     mode = "(?is)" if b.session.insensitive(hay.collation or pattern.collation) else "(?s)"
     body = like_regex(p[1:] if p.startswith("%") else p, None)
@@ -268,12 +276,20 @@ def _round(b, x, n, cut=None):
     x = _math_type(b, "round", x)
     k = number(b, n)
     truncate = cut is not None and not (isinstance(cut.literal, int) and cut.literal == 0)
+    if not isinstance(k.literal, int):
+        # a shift by a power of ten, as Spark rounds at constant places only
+        wide = x.sql if not x.type.is_integer else f"CAST({x.sql} AS DECIMAL(20,0))"
+        step = f"pow(10D, {k.sql})"
+        if x.type.is_float:
+            whole = f"round({wide} * {step})" if not truncate else f"(signum({wide}) * floor(abs({wide} * {step})))"
+            return bound(f"CAST({whole} / {step} AS {x.type.spark()})", x.type)
+        places = x.type.s if x.type.name == "decimal" else 4 if x.type.name in ty.MONEY else 0
+        options = range(-20, places + 1)
+        one = (lambda p: f"round({wide}, {p})") if not truncate else (lambda p: f"signum({wide}) * floor(abs({wide}), {p})")
+        arms = " ".join(f"WHEN {p} THEN CAST({one(p)} AS {x.type.spark()})" for p in options)
+        return bound(f"(CASE WHEN {k.sql} IS NULL OR {wide} IS NULL THEN NULL ELSE CASE greatest(least({k.sql}, {places}), -20) {arms} END END)", x.type)
     if not truncate:
-        if not isinstance(k.literal, int):
-            raise TsqlError(50000, "ROUND needs a literal length.")
         return bound(f"CAST(round({x.sql}, {k.literal}) AS {x.type.spark()})", x.type)
-    if not isinstance(k.literal, int):
-        raise TsqlError(50000, "ROUND needs a literal length.")
     d = x.sql if not x.type.is_float else f"CAST({x.sql} AS DECIMAL(38,12))"
     return bound(f"CAST(signum({x.sql}) * floor(abs({d}), {k.literal}) AS {x.type.spark()})", x.type)
 
@@ -421,8 +437,10 @@ def _datediff(b, word, x, y):
         sql = f"CAST({sunday(e)} - {sunday(s)} AS INT)"
     else:
         unit = {"nanosecond": "MICROSECOND"}.get(part, part.upper())
+        over = "Msg 535: The datediff function resulted in an overflow. The number of dateparts separating two date/time instances is too large."
         cut = lambda d: f"CAST(date_trunc('{unit}', CAST({d} AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)"
-        sql = f"CAST(timestampdiff({unit}, {cut(s)}, {cut(e)}){' * 1000' if part == 'nanosecond' else ''} AS INT)"
+        wide = f"(timestampdiff({unit}, {cut(s)}, {cut(e)}){' * 1000' if part == 'nanosecond' else ''})"
+        sql = f"CAST({wide} AS INT)" if part in ("hour", "minute") else f"CAST(CASE WHEN abs({wide}) > 2147483647 THEN raise_error('{over}') ELSE {wide} END AS INT)"
     return bound(sql, ty.INT)
 
 
@@ -445,8 +463,8 @@ def _clock(name, sql, t):
 _clock("GETDATE", "local", ty.DATETIME)
 _clock("CURRENT_TIMESTAMP", "local", ty.DATETIME)
 _clock("GETUTCDATE", "utc", ty.DATETIME)
-_clock("SYSDATETIME", "local", SqlType("datetime2", s=7))
-_clock("SYSUTCDATETIME", "utc", SqlType("datetime2", s=7))
+_clock("SYSDATETIME", "local precise", SqlType("datetime2", s=7))
+_clock("SYSUTCDATETIME", "utc precise", SqlType("datetime2", s=7))
 
 
 # -- session and metadata ------------------------------------------------------------------------------------------------

@@ -258,13 +258,22 @@ class Binder:
         n = self.whole_number(t.count)
         if not t.ties or n == 0:
             return f"{sql}{by} LIMIT {n}"
-        a = self.fresh()
         over = ", ".join(f"k{i + 1}{' DESC' if d else ''}" for i, (_, d) in enumerate(sort))
+        keys = [f"k{i + 1}" for i in range(len(sort))]
         inner = f"SELECT {'DISTINCT ' if s.distinct else ''}{select}, {', '.join(re.sub(r"(?<![\\w.`'])c([0-9]+)(?![\\w`'])", lambda m: bound[int(m[1]) - 1][1].sql, k) + f' AS k{i + 1}' for i, (k, _) in enumerate(sort))}{tail}"
-        known = " AND ".join(f"k{i + 1} IS NOT NULL" for i in range(len(sort)))
         columns = ", ".join(f"c{i + 1}" for i in range(len(bound)))
-        # rows tie with the last one only where no key is null
-        return f"SELECT {columns} FROM (SELECT *, rank() OVER (ORDER BY {over}) AS r, row_number() OVER (ORDER BY {over}) AS n FROM ({inner}) {a}) {self.fresh()} WHERE r <= {n} AND (n <= {n} OR ({known})) ORDER BY {over}"
+        # the n-th row's keys by a top-n, then every row up to them; a null key ties with none
+        back = ", ".join(f"k{i + 1}{'' if d else ' DESC'}" for i, (_, d) in enumerate(sort))
+        a, z = self.fresh(), self.fresh()
+        last = f"(SELECT {', '.join(keys)} FROM (SELECT {', '.join(keys)} FROM ({inner}) {self.fresh()} ORDER BY {over} LIMIT {n}) {self.fresh()} ORDER BY {back} LIMIT 1)"
+        upto = "TRUE"
+        for k, (_, d) in reversed(list(zip(keys, sort, strict=True))):
+            less = f"({a}.{k} > {z}.{k} OR ({a}.{k} IS NOT NULL AND {z}.{k} IS NULL))" if d else f"({a}.{k} < {z}.{k} OR ({a}.{k} IS NULL AND {z}.{k} IS NOT NULL))"
+            upto = f"({less} OR ({a}.{k} <=> {z}.{k} AND {upto}))"
+        known = " AND ".join(f"{z}.{k} IS NOT NULL" for k in keys)
+        tied = f"SELECT {', '.join(f'{a}.c{i + 1}' for i in range(len(bound)))}, {', '.join(f'{a}.{k}' for k in keys)} FROM ({inner}) {a} CROSS JOIN {last} {z} WHERE {known} AND {upto}"
+        plain = f"SELECT {columns}, {', '.join(keys)} FROM (SELECT * FROM ({inner}) {self.fresh()} ORDER BY {over} LIMIT {n}) {a} CROSS JOIN {last} {z} WHERE NOT ({known})".replace(f"SELECT {columns}, {', '.join(keys)}", f"SELECT {', '.join(f'{a}.c{i + 1}' for i in range(len(bound)))}, {', '.join(f'{a}.{k}' for k in keys)}", 1)
+        return f"SELECT {columns} FROM ({tied} UNION ALL {plain}) {self.fresh()} ORDER BY {over}"
 
     def items(self, s: Node, scope: Scope) -> list[tuple[str, object]]:
         out = []
@@ -403,15 +412,15 @@ class Binder:
         if e.op in ("<", "<=", ">", ">="):
             # the extreme decides, with nulls and the empty set told apart
             largest = (e.op in (">", ">=")) == e.every
-            y = self.to(Bound(f"{a}.c1", cols[0][1]), t).sql
+            y = self.collated(self.to(Bound(f"{a}.c1", cols[0][1], collation=x.collation), t)).sql
             pick = f"(SELECT struct({'max' if largest else 'min'}({y}) AS v, count(*) AS n, count({y}) AS k) FROM ({sql}) {a})"
-            test = f"({self.to(x, t).sql} {e.op} {pick}.v)"
+            test = f"({self.collated(self.to(x, t)).sql} {e.op} {pick}.v)"
             if e.every:
                 return f"(CASE WHEN {pick}.n = 0 THEN TRUE WHEN NOT {test} THEN FALSE WHEN {pick}.k < {pick}.n THEN NULL ELSE {test} END)"
             return f"(CASE WHEN {pick}.n = 0 THEN FALSE WHEN {test} THEN TRUE WHEN {pick}.k < {pick}.n THEN NULL ELSE {test} END)"
-        y = self.to(Bound(f"{a}.c1", cols[0][1]), t).sql
+        y = self.collated(self.to(Bound(f"{a}.c1", cols[0][1], collation=x.collation), t)).sql
         pick = f"(SELECT struct(min({y}) AS lo, max({y}) AS hi, count(*) AS n, count({y}) AS k) FROM ({sql}) {a})"
-        own = self.to(x, t).sql
+        own = self.collated(self.to(x, t)).sql
         if e.every:  # = ALL
             return f"(CASE WHEN {pick}.n = 0 THEN TRUE WHEN {own} <> {pick}.lo OR {own} <> {pick}.hi THEN FALSE WHEN {pick}.k < {pick}.n THEN NULL ELSE {own} = {pick}.lo END)"
         return f"(CASE WHEN {pick}.n = 0 THEN FALSE WHEN {own} <> {pick}.lo OR {own} <> {pick}.hi THEN TRUE WHEN {pick}.k < {pick}.n THEN NULL ELSE {own} <> {pick}.lo END)"
@@ -443,10 +452,10 @@ class Binder:
         if mark is not None and len(str(mark)) != 1:
             raise TsqlError(506, "The invalid escape character was specified in a LIKE predicate.")
         insensitive = self.session.insensitive(x.collation or pattern.collation)
+        if escape is not None and mark is None and not escape.is_null:
+            raise TsqlError(50000, "ESCAPE needs a constant character.")
         if not isinstance(pattern.literal, str):
-            other = self.to_string(pattern).sql
-            pair = (f"lower({text.sql})", f"lower({other})") if insensitive else (text.sql, other)
-            return f"({no}(rtrim({pair[0]}) LIKE rtrim({pair[1]}) OR {pair[0]} LIKE {pair[1]}))"
+            return f"({no}rlike({text.sql}, concat({quote('(?is)^' if insensitive else '(?s)^')}, {like_regex_sql(self.to_string(pattern).sql, mark)}, ' *$')))"
         simple = "[" not in pattern.literal and mark is None and "\\" not in pattern.literal
         if simple and not insensitive and pattern.literal.endswith("%"):
             return f"({text.sql} {no}LIKE {quote(pattern.literal)})"
@@ -712,7 +721,13 @@ class Grouping:
 
 
 def truncated_quotient(x: str, y: str, t: SqlType) -> str:
-    """x / y cut, not rounded, at the scale of ``t``."""
+    """x / y cut, not rounded, at the scale of ``t``.
+
+    Operands that are long, so that nesting would repeat them again and again, or differ from one evaluation to the next
+    are evaluated once.
+    """
+    if len(x) + len(y) > 400 or "uuid()" in x + y or "rand(" in x + y:
+        return f"transform(array(struct({x} AS x, {y} AS y)), o -> {truncated_quotient('o.x', 'o.y', t)})[0]"
     q = f"CAST(({x} / {y}) AS {t.spark()})"
     unit = f"CAST('{Decimal(1).scaleb(-t.s):f}' AS DECIMAL({max(t.s, 1)},{t.s}))"
     return f"CAST(CASE WHEN abs({q} * {y}) > abs({x}) THEN {q} - CAST(signum({q}) AS DECIMAL(1,0)) * {unit} ELSE {q} END AS {t.spark()})"
@@ -774,3 +789,16 @@ def like_regex(pattern: str, escape: str | None) -> str:
             out += re.escape(c)
         i += 1
     return out
+
+
+def like_regex_sql(pattern: str, escape: str | None) -> str:
+    """The same of a pattern that only the row knows, as an expression: its pieces are told apart and rewritten one by one."""
+    pieces = r"\[\]?[^\]]*\]|[\s\S]"
+    if escape is not None:
+        pieces = rf"\Q{escape}\E[\s\S]|{pieces}"
+    body = "substring(p, 2, length(p) - 2)"
+    inner = f"regexp_replace(if(startswith({body}, '^'), substring({body}, 2), {body}), {quote(r'([\\\[\]^&])')}, {quote(r'\\$1')})"
+    plain = lambda c: f"regexp_replace({c}, {quote(r'([^A-Za-z0-9\s])')}, {quote(r'\\$1')})"
+    escaped = f"WHEN length(p) = 2 AND startswith(p, {quote(escape)}) THEN {plain('substring(p, 2)')} " if escape is not None else ""
+    case = f"CASE {escaped}WHEN p = '%' THEN '.*' WHEN p = '_' THEN '.' WHEN p = '[' OR length(p) > 1 AND {inner} = '' THEN '(?!)' WHEN length(p) > 1 THEN concat(if(startswith({body}, '^'), '[^', '['), {inner}, ']') ELSE {plain('p')} END"
+    return f"array_join(transform(regexp_extract_all({pattern}, {quote(pieces)}, 0), p -> {case}), '')"

@@ -18,6 +18,7 @@ from .functions import convert
 from .operators import dml
 from .plans.binder import Binder, Bound, Scope, quote
 from .plans.parser import Node, Parser, parse
+from .sources import procedures
 from .sources.catalog import Catalog, Check, Column, Foreign, Key, Table, column_type, view_rows
 from .types import SqlType
 
@@ -800,8 +801,42 @@ class TsqlSession:
             return self.nested(f"SELECT {columns} FROM {view} WHERE TABLE_NAME = {quote(str(literal(0)))}", {})
         if name == "sp_server_info":
             return self.rows(["attribute_id", "attribute_name", "attribute_value"], [(1, "DBMS_NAME", "T-SQL on Spark")], "attribute_id int, attribute_name string, attribute_value string")
+        if name.removesuffix("_100") in procedures.PARAMETERS:
+            places = procedures.PARAMETERS[name.removesuffix("_100")].split()
+            if len(args) > len(places):
+                raise TsqlError(8144, f"Procedure or function {name} has too many arguments specified.")
+            schema, found = procedures.result(self.catalog, self.database, name, {(label or places[i]).lower(): literal(i) for i, (label, _, _, _) in enumerate(args)})
+            return self.rows([c.split()[0] for c in schema.split(", ")], found, schema)
+        if name == "sp_describe_undeclared_parameters":
+            return self._undeclared(literal(0) or "", literal(1) or "")
         raise TsqlError(2812, f"Could not find stored procedure '{'.'.join(s.proc)}'.")
 
+    def _undeclared(self, text: str, params: str) -> None:
+        """The variables of a text that it doesn't declare, with the type of what each is compared with."""
+        declared = {n.lower() for n, _, _ in (parse(f"DECLARE {params}")[0].items if params.strip() else [])}
+        found: dict[str, str | None] = {}
+        columns = {c.name.lower(): c.type for t in self.tables.values() for c in t.columns}
+
+        def walk(e) -> None:
+            if isinstance(e, (list, tuple)):
+                for x in e:
+                    walk(x)
+            elif isinstance(e, Node):
+                if e.kind == "declare":
+                    declared.update(n.lower() for n, _, _ in e.items)
+                if e.kind == "var" and not e.name.startswith("@@") and e.name.lower() not in declared:
+                    found.setdefault(e.name, None)
+                sides = [e.get(n) for n in ("left", "right", "value", "low", "high", "pattern")]
+                names = [x.name for x in sides if isinstance(x, Node) and x.kind == "var" and x.name.lower() not in declared]
+                types = [columns.get(x.parts[-1].lower()) for x in sides if isinstance(x, Node) and x.kind == "col"]
+                for n in names:
+                    found[n] = found.get(n) or next((t.text() for t in types if t is not None), None)
+                walk([x for x in e.__dict__.values() if isinstance(x, (Node, list, tuple))])
+
+        walk(parse(text))
+        rows = [(i + 1, n, t or "sql_variant") for i, (n, t) in enumerate(found.items())]
+        self.rows(["parameter_ordinal", "name", "suggested_system_type_name"], rows, "parameter_ordinal int, name string, suggested_system_type_name string")
+
     def rows(self, names, rows, schema) -> None:
         self.results.append(Result("rows", df=self.spark.createDataFrame(rows, schema).toDF(*names)))
 

@@ -105,7 +105,7 @@ class Catalog:
 
 
 OBJECT = ["name", "object_id", "principal_id", "schema_id", "parent_object_id", "type", "type_desc", "create_date", "modify_date", "is_ms_shipped", "is_published", "is_schema_published"]
-_INTS = {"object_id", "principal_id", "schema_id", "parent_object_id", "column_id", "database_id", "index_id", "system_type_id", "user_type_id", "max_length", "precision", "scale", "type_id", "ORDINAL_POSITION", "CHARACTER_MAXIMUM_LENGTH", "CHARACTER_OCTET_LENGTH", "NUMERIC_PRECISION", "NUMERIC_PRECISION_RADIX", "NUMERIC_SCALE", "DATETIME_PRECISION", "index_column_id", "key_ordinal", "referenced_object_id", "key_index_id", "constraint_object_id", "constraint_column_id", "parent_column_id", "referenced_column_id", "unique_index_id", "seed_value", "increment_value", "last_value", "partition_ordinal", "rows", "partition_number", "session_id", "compatibility_level"}
+_INTS = {"object_id", "principal_id", "schema_id", "parent_object_id", "column_id", "database_id", "index_id", "system_type_id", "user_type_id", "max_length", "precision", "scale", "type_id", "ORDINAL_POSITION", "CHARACTER_MAXIMUM_LENGTH", "CHARACTER_OCTET_LENGTH", "NUMERIC_PRECISION", "NUMERIC_PRECISION_RADIX", "NUMERIC_SCALE", "DATETIME_PRECISION", "index_column_id", "key_ordinal", "referenced_object_id", "key_index_id", "constraint_object_id", "constraint_column_id", "parent_column_id", "referenced_column_id", "unique_index_id", "seed_value", "increment_value", "last_value", "partition_ordinal", "rows", "partition_number", "session_id", "compatibility_level", "role_principal_id", "member_principal_id", "owning_principal_id", "grantee_principal_id", "file_id", "data_space_id", "state", "size", "max_size", "growth", "request_id", "blocking_session_id", "class", "major_id", "allocation_unit_id", "container_id", "total_pages", "used_pages", "cpu_count", "physical_memory_kb", "default_object_id", "rule_object_id"}
 #: Type ids and sizes in bytes.
 TYPE_IDS = {"tinyint": (48, 1), "smallint": (52, 2), "int": (56, 4), "bigint": (127, 8), "bit": (104, 1), "decimal": (106, 17), "money": (60, 8), "smallmoney": (122, 4), "float": (62, 8), "real": (59, 4), "char": (175, 0), "varchar": (167, 0), "nchar": (239, 0), "nvarchar": (231, 0), "binary": (173, 0), "varbinary": (165, 0), "date": (40, 3), "time": (41, 5), "datetime": (61, 8), "smalldatetime": (58, 4), "datetime2": (42, 8), "datetimeoffset": (43, 10), "uniqueidentifier": (36, 16)}
 
@@ -144,8 +144,8 @@ def view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tup
     if name == "sys.schemas":
         return ["name", "schema_id", "principal_id"], [("dbo", 1, 1), ("INFORMATION_SCHEMA", 3, 3), ("sys", 4, 4), *[(n, i + 5, 1) for i, n in enumerate(catalog.schemas.get(database, []))]]
     if name == "sys.types":
-        rows = [(n, i, i, 4, None, s or 8000, 0, 0, collation if "char" in n else None, 1, 0, 0) for n, (i, s) in TYPE_IDS.items()]
-        return ["name", "system_type_id", "user_type_id", "schema_id", "principal_id", "max_length", "precision", "scale", "collation_name", "is_nullable", "is_user_defined", "is_table_type"], rows
+        rows = [(n, i, i, 4, None, s or 8000, 0, 0, collation if "char" in n else None, 1, 0, 0, 0, 0, 0) for n, (i, s) in TYPE_IDS.items()]
+        return ["name", "system_type_id", "user_type_id", "schema_id", "principal_id", "max_length", "precision", "scale", "collation_name", "is_nullable", "is_user_defined", "is_assembly_type", "default_object_id", "rule_object_id", "is_table_type"], rows
     if name in ("sys.objects", "sys.all_objects"):
         return OBJECT, [obj(t.name, t.object_id, 0, "U", "USER_TABLE") for t in tables] + [obj(cname(k, c), i, t.object_id, k, desc[k]) for t, k, c, i in constraints]
     if name == "sys.tables":
@@ -177,6 +177,11 @@ def view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tup
         return ["object_id", "index_id", "partition_number"], [(t.object_id, 1 if t.keys else 0, 1) for t in tables]
     if name in ("sys.views", "sys.procedures", "sys.triggers", "sys.synonyms", "sys.sequences", "sys.table_types", "sys.sql_modules", "sys.parameters", "sys.extended_properties"):
         return OBJECT, []
+    plain = _plain_views(database, len(catalog.databases)).get(name)
+    if plain is not None:
+        return plain
+    if name == "sys.allocation_units":
+        return ["allocation_unit_id", "type", "type_desc", "container_id", "data_space_id", "total_pages", "used_pages"], [(t.object_id + 1, 1, "IN_ROW_DATA", t.object_id, 1, 0, 0) for t in tables]
     if name == "sys.dm_exec_sessions":
         return ["session_id", "login_name", "host_name", "program_name", "status"], [(51, "sa", "localhost", "tsqlspark", "running")]
     if name == "sys.configurations":
@@ -206,6 +211,36 @@ def view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tup
     return None
 
 
+def _plain_views(database: str, databases: int) -> dict[str, tuple[list[str], list[tuple]]]:
+    """Views whose rows don't depend on tables."""
+    principal = ["name", "principal_id", "sid", "type", "type_desc", "default_schema_name", "create_date", "modify_date", "owning_principal_id", "is_fixed_role"]
+    roles = ("db_owner", "db_accessadmin", "db_securityadmin", "db_ddladmin", "db_backupoperator", "db_datareader", "db_datawriter", "db_denydatareader", "db_denydatawriter")
+    ids = (16384, 16385, 16386, 16387, 16389, 16390, 16391, 16392, 16393)
+    users = [("public", 0, None, "R", "DATABASE_ROLE", None, CREATED, CREATED, 1, 0), ("dbo", 1, "0x01", "S", "SQL_USER", "dbo", CREATED, CREATED, None, 0), ("guest", 2, "0x00", "S", "SQL_USER", "guest", CREATED, CREATED, None, 0), ("INFORMATION_SCHEMA", 3, None, "S", "SQL_USER", None, CREATED, CREATED, None, 0), ("sys", 4, None, "S", "SQL_USER", None, CREATED, CREATED, None, 0)]
+    users += [(r, i, None, "R", "DATABASE_ROLE", None, CREATED, CREATED, 1, 1) for r, i in zip(roles, ids, strict=True)]
+    login = ["name", "principal_id", "sid", "type", "type_desc", "is_disabled", "create_date", "modify_date", "default_database_name", "is_fixed_role"]
+    logins = [("sa", 1, "0x01", "S", "SQL_LOGIN", 0, CREATED, CREATED, "master", 0), ("public", 2, "0x02", "R", "SERVER_ROLE", 0, CREATED, CREATED, None, 0), ("sysadmin", 3, "0x03", "R", "SERVER_ROLE", 0, CREATED, CREATED, None, 1)]
+    files = ["database_id", "file_id", "type", "type_desc", "data_space_id", "name", "physical_name", "state", "state_desc", "size", "max_size", "growth", "is_read_only"]
+    of = lambda d: [(d, 1, 0, "ROWS", 1, "data", "data", 0, "ONLINE", 0, -1, 0, 0), (d, 2, 1, "LOG", 0, "log", "log", 0, "ONLINE", 0, -1, 0, 0)]
+    space = ["name", "data_space_id", "type", "type_desc", "is_default", "is_system"]
+    return {
+        "sys.database_principals": (principal, users),
+        "sys.server_principals": (login, logins),
+        "sys.sql_logins": (login, logins[:1]),
+        "sys.database_role_members": (["role_principal_id", "member_principal_id"], [(16384, 1)]),
+        "sys.server_role_members": (["role_principal_id", "member_principal_id"], [(3, 1)]),
+        "sys.database_permissions": (["class", "class_desc", "major_id", "grantee_principal_id", "permission_name", "state_desc"], [(0, "DATABASE", 0, 1, "CONNECT", "GRANT")]),
+        "sys.database_files": (files[1:], [r[1:] for r in of(1)]),
+        "sys.master_files": (files, [r for d in range(1, databases + 1) for r in of(d)]),
+        "sys.data_spaces": (space, [("PRIMARY", 1, "FG", "ROWS_FILEGROUP", 1, 0)]),
+        "sys.filegroups": ([*space, "is_read_only"], [("PRIMARY", 1, "FG", "ROWS_FILEGROUP", 1, 0, 0)]),
+        "sys.dm_exec_requests": (["session_id", "request_id", "status", "command", "database_id", "blocking_session_id", "wait_type"], [(51, 0, "running", "SELECT", 1, 0, None)]),
+        "sys.dm_exec_connections": (["session_id", "net_transport", "protocol_type", "encrypt_option", "auth_scheme", "client_net_address"], [(51, "TCP", "TSQL", "FALSE", "SQL", "127.0.0.1")]),
+        "sys.dm_os_sys_info": (["cpu_count", "physical_memory_kb"], [(1, 0)]),
+        "sys.dm_os_host_info": (["host_platform", "host_distribution", "host_release"], [("Linux", "Linux", "")]),
+    }
+
+
 def column_type(name: str) -> SqlType:
     if name in _INTS or name.startswith("is_"):
         return ty.INT
