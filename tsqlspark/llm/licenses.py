@@ -1,7 +1,8 @@
 """License scan with a positional index of rare tokens, in DataFrame functions throughout.
 
 The words that few templates have are posted with their positions.  Every place of a posted word in a file is looked
-up, each (file position, template position) pair votes for the place where the template would begin, and every place on which enough distinct rare words agree is a candidate.  It counts once the
+up, each (file position, template position) pair votes for the place where the template would begin, and every place on
+which enough distinct rare words agree is a candidate.  It counts once the
 template's mandatory key phrases stand where the place puts them, give or take ``SLACK`` words.
 
 The index is a literal of a few hundred words, fixed by the templates.  Files are scanned where they lie, without a
@@ -37,6 +38,7 @@ TEMPLATES = [
     ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu affero general public license"]),
     ("apache", "Licensed under the Apache License, Version 2.0", ["under the apache license"]),
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', ["apache license version 2 0", "in compliance with the license"]),
+    ("apache", 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.', ["as defined by sections 1 through 9 of this document"]),
     ("artistic", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.", ["establishes the terms under which"]),
     ("boost", "Distributed under the Boost Software License, Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["redistribution and use in source and binary forms", "provided that the following conditions are met"]),
@@ -51,11 +53,15 @@ TEMPLATES = [
     ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", ["eclipse public license"]),
     ("gpl", "This work is licensed under the GNU General Public License, version 3.", ["under the gnu general public license"]),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["terms of the gnu general public license", "published by the free software foundation"]),
+    ("gpl", "GNU General Public License Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it.", ["gnu general public license version 2 june 1991", "designed to take away your freedom to share and change it"]),
+    ("gpl", "GNU General Public License Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.", ["gnu general public license version 3 29 june 2007", "copyleft license for software and other kinds of works"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["permission to use copy modify and or distribute this software for any purpose"]),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["gnu lesser general public license"]),
+    ("lgpl", "GNU Lesser General Public License Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.", ["gnu lesser general public license version 3 29 june 2007", "supplemented by the additional permissions listed below"]),
     ("mit", "Released under the MIT License.", ["under the mit license"]),
     ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so', ["permission is hereby granted free of charge to any person obtaining a copy", "to deal in the software without restriction"]),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ["mozilla public license"]),
+    ("mpl", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.', ["each individual or legal entity that creates contributes to the creation of or owns covered software"]),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["free and unencumbered software released into the public domain"]),
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications", ["in no event will the authors be held liable"]),
 ]
@@ -122,8 +128,9 @@ def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) for each row (doc_id, text).
 
     ``matches``: (label, start word, share of the template's words that agree) of the templates found, each at the place
-    with the most votes of those where its key phrases stand, the earliest on a tie.  Labels are distinct and sorted.  ``score`` is the largest share, 0 without a match.  Null texts have no words; rows that repeat
-    a document are scanned alike; other columns are ignored.
+    with the most votes of those where its key phrases stand, the earliest on a tie.  Labels are distinct and sorted.
+    ``score`` is the largest share, 0 without a match.  Null texts have no words; rows that repeat a document are scanned
+    alike; other columns are ignored; an empty table gives an empty result.
     """
     index = index or Index()
     text = F.coalesce(F.col("text"), F.lit(""))
