@@ -1,6 +1,10 @@
 """The corpus pipeline: STAGES in order, each reading what its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Null texts are empty texts, null languages and sources values of their own, and rows with a null doc_id stay where no
+other row has their text.  Rows that repeat a doc_id come out of the second stage once.  Ties go to the smaller doc_id.
+An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -49,7 +53,7 @@ STAGES = [
     ("sharding", into_shards),
 ]
 
-#: No stage but the last two could be written in SQL; the tests hold the whole against brute force instead.
+#: The classifier and the key that documents are sharded by have no SQL; the tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
