@@ -6,6 +6,10 @@ from ..errors import TsqlError
 from .lexer import Token, tokenize
 
 
+#: The isolation level that a table hint names.
+LEVELS = {"NOLOCK": 0, "READUNCOMMITTED": 0, "READCOMMITTED": 1, "READCOMMITTEDLOCK": 1, "REPEATABLEREAD": 2, "HOLDLOCK": 3, "SERIALIZABLE": 3, "SNAPSHOT": 4}
+
+
 class Node:
     """A syntax node: a kind and named parts.  Equal where kind and parts are."""
 
@@ -749,11 +753,16 @@ class Parser:
         return None
 
     def hints(self) -> None:
+        """Table hints: read and left out, as there are no locks; two that name different levels are refused."""
         if self.at("WITH") and self.is_op("(", 1):
             self.i += 1
-            self.skip_parens()
-        elif self.is_op("(") and self.peek().word in HINTS:
-            self.skip_parens()
+        elif not (self.is_op("(") and self.peek().word in HINTS):
+            return
+        begin = self.i
+        self.skip_parens()
+        levels = {LEVELS[t.word] for t in self.tokens[begin : self.i] if t.word in LEVELS}
+        if len(levels) > 1:
+            raise TsqlError(1047, "Conflicting locking hints specified.")
 
     # -- expressions -------------------------------------------------------------------------------------------------
     def condition(self) -> Node:

@@ -120,8 +120,37 @@ def _precision(t: SqlType) -> int:
     return t.exact()[0] if t.is_exact or t.name == "bit" else {"float": 53, "real": 24}.get(t.name, 0)
 
 
+#: Further columns of the views, which are the same for every row.
+CONSTANT = {
+    "sys.databases": {"source_database_id": None, "owner_sid": "0x01", "user_access": 0, "user_access_desc": "MULTI_USER", "is_read_only": 0, "is_auto_close_on": 0, "is_auto_shrink_on": 0, "state": 0, "is_in_standby": 0, "snapshot_isolation_state": 0, "snapshot_isolation_state_desc": "OFF", "is_read_committed_snapshot_on": 0, "recovery_model": 3, "recovery_model_desc": "SIMPLE", "page_verify_option": 2, "page_verify_option_desc": "CHECKSUM", "is_auto_create_stats_on": 1, "is_ansi_nulls_on": 1, "is_quoted_identifier_on": 1, "is_broker_enabled": 0, "is_encrypted": 0, "containment": 0, "containment_desc": "NONE"},
+    "sys.tables": {"lob_data_space_id": 0, "filestream_data_space_id": None, "max_column_id_used": 0, "lock_on_bulk_load": 0, "uses_ansi_nulls": 1, "is_replicated": 0, "has_replication_filter": 0, "is_merge_published": 0, "is_sync_tran_subscribed": 0, "has_unchecked_assembly_data": 0, "text_in_row_limit": 0, "large_value_types_out_of_row": 0, "is_tracked_by_cdc": 0, "lock_escalation": 0, "lock_escalation_desc": "TABLE", "is_filetable": 0, "is_memory_optimized": 0, "durability": 0, "durability_desc": "SCHEMA_AND_DATA", "temporal_type": 0, "temporal_type_desc": "NON_TEMPORAL_TABLE", "history_table_id": None, "is_remote_data_archive_enabled": 0, "is_external": 0, "is_node": 0, "is_edge": 0},
+    "sys.columns": {"is_ansi_padded": 1, "is_rowguidcol": 0, "is_filestream": 0, "is_replicated": 0, "is_non_sql_subscribed": 0, "is_merge_published": 0, "is_dts_replicated": 0, "is_xml_document": 0, "xml_collection_id": 0, "default_object_id": 0, "rule_object_id": 0, "is_sparse": 0, "is_column_set": 0, "generated_always_type": 0, "generated_always_type_desc": "NOT_APPLICABLE", "is_hidden": 0, "is_masked": 0},
+    "sys.identity_columns": {"is_not_for_replication": 0, "is_identity": 1},
+    "sys.indexes": {"data_space_id": 1, "ignore_dup_key": 0, "fill_factor": 0, "is_padded": 0, "is_disabled": 0, "is_hypothetical": 0, "is_ignored_in_optimization": 0, "allow_row_locks": 1, "allow_page_locks": 1, "has_filter": 0, "filter_definition": None, "auto_created": 0},
+    "sys.index_columns": {"column_store_order_ordinal": 0},
+    "sys.foreign_keys": {"key_index_id": 1, "is_disabled": 0, "is_not_for_replication": 0, "is_not_trusted": 0, "delete_referential_action": 0, "update_referential_action": 0, "is_system_named": 0},
+    "sys.check_constraints": {"is_disabled": 0, "is_not_for_replication": 0, "is_not_trusted": 0, "parent_column_id": 0, "uses_database_collation": 1, "is_system_named": 0},
+    "sys.default_constraints": {"is_system_named": 0},
+    "sys.partitions": {"hobt_id": 0, "rows": 0, "filestream_filegroup_id": 0, "data_compression": 0, "data_compression_desc": "NONE"},
+    "sys.dm_exec_sessions": {"login_time": None, "host_process_id": None, "client_version": 7, "client_interface_name": "TDS", "language": "us_english", "date_format": "mdy", "date_first": 7, "quoted_identifier": 1, "ansi_nulls": 1, "transaction_isolation_level": 2, "lock_timeout": -1, "database_id": 1, "open_transaction_count": 0, "is_user_process": 1},
+    "information_schema.columns": {"CHARACTER_SET_CATALOG": None, "CHARACTER_SET_SCHEMA": None, "COLLATION_CATALOG": None, "COLLATION_SCHEMA": None, "DOMAIN_CATALOG": None, "DOMAIN_SCHEMA": None, "DOMAIN_NAME": None},
+    "information_schema.schemata": {"DEFAULT_CHARACTER_SET_CATALOG": None, "DEFAULT_CHARACTER_SET_SCHEMA": None, "DEFAULT_CHARACTER_SET_NAME": "iso_1"},
+    "information_schema.views": {"VIEW_DEFINITION": None, "CHECK_OPTION": "NONE", "IS_UPDATABLE": "NO"},
+}
+
+
 def view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tuple[list[str], list[tuple]] | None:
     """Columns and rows of a catalogue view, by its lower-case qualified name; None for an unknown one."""
+    found = _view_rows(catalog, database, name, collation)
+    more = CONSTANT.get({"sys.all_columns": "sys.columns"}.get(name, name))
+    if found is None or more is None:
+        return found
+    names, rows = found
+    more = {c: v for c, v in more.items() if c not in names}
+    return [*names, *more], [(*r, *more.values()) for r in rows]
+
+
+def _view_rows(catalog: Catalog, database: str, name: str, collation: str) -> tuple[list[str], list[tuple]] | None:
     tables = list(catalog.databases[database].values())
 
     def obj(name_, id_, parent, kind, desc):
@@ -241,7 +270,10 @@ def _plain_views(database: str, databases: int) -> dict[str, tuple[list[str], li
     }
 
 
+_CONSTANT_INTS = {c for columns in CONSTANT.values() for c, v in columns.items() if isinstance(v, int)} | {"source_database_id", "history_table_id", "filestream_data_space_id", "host_process_id"}
+
+
 def column_type(name: str) -> SqlType:
-    if name in _INTS or name.startswith("is_"):
+    if name in _INTS or name in _CONSTANT_INTS or name.startswith("is_"):
         return ty.INT
     return ty.DATETIME2 if name.endswith("_date") else ty.nvarchar(4000)
