@@ -59,7 +59,7 @@ AGAINST = r"(?i)version|\bv\b|release|isbn|order|invoice|serial|\bsku\b|\bref|pa
 #: The beginnings of keys that are made for programs.
 KNOWN_KEYS = r"^(?:AKIA|ASIA|gh[a-z]_|[sprk]k_|xox[a-z]-|AIza|eyJ)"
 CONTEXT = 40
-#: Matches of a text that are put together at a time.
+#: Matches of a text whose lengths are added up at a time.
 BLOCK = 256
 EXAMPLES, ROUNDS, RATE, PRECISION = 600, 16, 0.4, 0.95
 FEATURES = ["digits", "marks", "valid", "for", "against", "glued", "variety", "length", "classes", "form"]
@@ -90,23 +90,43 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums_before(numbers: Column) -> Column:
+    """Of each number the sum of those before it.
+
+    By blocks, as an aggregate that gathers a list copies all of it at every step: sums of blocks, sums of the blocks
+    before each, and sums within a block.
+    """
+    add = lambda a, x: a + x
+    zero = F.lit(0)
+
+    def within(n: Column, blocks: Column, offsets: Column) -> Column:
+        block = lambda k, size: F.slice(n, k * BLOCK + 1, size)
+        return F.flatten(F.transform(blocks, lambda k: F.transform(block(k, BLOCK), lambda _, i: F.get(offsets, k) + F.aggregate(block(k, i), zero, add))))
+
+    def by_blocks(n: Column, blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda k: F.aggregate(F.slice(n, k * BLOCK + 1, BLOCK), zero, add))
+        return _bound(sums, lambda t: _bound(F.transform(blocks, lambda k: F.aggregate(F.slice(t, 1, k), zero, add)), lambda o: within(n, blocks, o)))
+
+    return _bound(numbers, lambda n: _bound(F.sequence(zero, F.greatest(F.ceil(F.size(n) / BLOCK).cast("int") - 1, zero)), lambda blocks: by_blocks(n, blocks)))
+
+
 def _found(gaps: str, matches: str, kind: str, form: int | None = None) -> Column:
     """Matches with their places, from the texts between and of them: (s, e, m, then ok or, for the generator ``form``, the features)."""
     zipped = F.arrays_zip(F.col(gaps).alias("g"), F.col(matches).alias("m"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
-    rows = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
-    none = F.expr(f"cast(array() as {rows})")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.expr(f"cast(array() as array<{rows}>)").alias("full"))
+    lengths = F.transform(zipped, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(F.coalesce(x["after"], F.lit("")), F.lit(1)).alias("after")))
-        # matches are gathered in blocks, as a list that grows by one costs its length each time
-        closed = F.size(acc["out"]) >= BLOCK
-        out, full = F.when(closed, one).otherwise(F.concat(acc["out"], one)), F.when(closed, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), out.alias("out"), full.alias("full")))
-
-    placed = F.aggregate(zipped, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))
+    def one(x: Column, at: Column) -> Column:
+        s = at + F.length(x["g"])
+        return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(F.coalesce(x["after"], F.lit("")), F.lit(1)).alias("after"))
+
+    # the last piece has no match after it
+    pairs = F.arrays_zip(F.slice(zipped, 1, F.size(matches)).alias("x"), _sums_before(lengths).alias("at"))
+    placed = F.transform(F.filter(pairs, lambda p: p["x"].isNotNull()), lambda p: one(p["x"], p["at"]))
     if form is None:
         return F.transform(placed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _valid(kind, x["m"]).alias("ok")))
     return F.transform(placed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), *_features(kind, form, x)))
@@ -327,20 +347,21 @@ def _good(candidates: Column, kind: str, model: Trees) -> Column:
 
 
 def _best_of(candidates: Column) -> Column:
-    """Of candidates (s, e, score, rank) in order of their places: the best of those that overlap, the first on a tie."""
-    none = F.expr(f"cast(array() as {_SCORED})")
-    start = F.struct(none.alias("last"), none.alias("out"), F.expr(f"cast(array() as array<{_SCORED}>)").alias("full"))
+    """Of candidates (s, e, score, rank) in order of their places the best of those that overlap, the first on a tie: (s, e, rank)."""
+    # the kept ones gather as a text, which is cheap to copy at every step
+    start = F.struct(F.expr("cast(null as struct<s:int,e:int,score:double,rank:int>)").alias("last"), F.lit("").alias("kept"))
+    said = lambda c: F.concat_ws(" ", c["s"].cast("string"), c["e"].cast("string"), c["rank"].cast("string"))
 
     def step(acc: Column, x: Column) -> Column:
-        one, last = F.array(x), F.get(acc["last"], F.lit(0))
-        apart = F.size(acc["last"]).eqNullSafe(F.lit(0)) | (x["s"] >= last["e"])
-        closed = F.size(acc["out"]) >= BLOCK
-        out, full = F.when(closed, acc["last"]).otherwise(F.concat(acc["out"], acc["last"])), F.when(closed, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
-        taken = F.struct(one.alias("last"), out.alias("out"), full.alias("full"))
-        better = F.struct(F.when(x["score"] > last["score"], one).otherwise(acc["last"]).alias("last"), acc["out"].alias("out"), acc["full"].alias("full"))
-        return F.when(apart, taken).otherwise(better)
-
-    return F.aggregate(candidates, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"], acc["last"]))))
+        last = acc["last"]
+        taken = F.struct(x.alias("last"), F.when(last.isNull(), F.lit("")).otherwise(F.concat(acc["kept"], said(last), F.lit(","))).alias("kept"))
+        better = F.struct(F.when(x["score"] > last["score"], x).otherwise(last).alias("last"), acc["kept"].alias("kept"))
+        return F.when(last.isNull() | (x["s"] >= last["e"]), taken).otherwise(better)
+
+    kept = F.aggregate(candidates, start, step, lambda acc: F.when(acc["last"].isNull(), F.lit("")).otherwise(F.concat(acc["kept"], said(acc["last"]))))
+    number = lambda parts, i: F.get(parts, F.lit(i)).cast("int")
+    split = F.transform(F.filter(F.split(kept, ","), lambda t: t != ""), lambda t: F.split(t, " "))
+    return F.transform(split, lambda t: F.struct(number(t, 0).alias("s"), number(t, 1).alias("e"), number(t, 2).alias("rank")))
 
 
 def find(docs: DataFrame, models: dict[str, Trees] | None = None) -> DataFrame:
