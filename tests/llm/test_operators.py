@@ -81,6 +81,41 @@ def test_word_scan():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_texts_are_scanned_in_parts(spark, monkeypatch):
+    """The same words, features and spans as in one piece; a word longer than a part, and parts of gaps alone."""
+    import pyarrow as pa
+
+    text = f"{LONG} {'z' * 900}é {' ' * 700}{PASSAGE} " + "ab, c" * 400 + "q" * 500
+    data, bounds = common.text_buffers(pa.array([text]))
+    names = [pa.array(["en"]), pa.array(["s"])]
+    whole, features = common._scan(data, bounds), quality.features(data, bounds, *names)
+    monkeypatch.setattr(common, "SCAN_BYTES", 256)
+    for a, b in zip(common.scan_words(data, bounds), whole, strict=True):
+        assert (a == b).all()
+    for a, b in zip(quality.features(data, bounds, *names), features, strict=True):
+        assert (a == b).all()
+    two = quality.features(*common.text_buffers(pa.array([text, "x"])), pa.array(["en", "en"]), pa.array(["s", "s"]))
+    assert (two[2][0] == features[2][0]).all()
+
+
+def test_a_text_of_two_million_bytes(spark):
+    """Every operator on texts takes a document that is far larger than the others, whole."""
+    r = np.random.default_rng(60)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    long = " ".join(r.choice(vocabulary, 400_000)) + f" {PASSAGE} mail a@b.co mit license"
+    rows = [(1, long, "en", "a"), (2, f"x {PASSAGE}", "en", "a"), (3, long + " end", "en", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    hit = {x.doc_id: (x.n_words, x.n_hit) for x in decontamination.contamination(df, bench).select("doc_id", "n_words", "n_hit").collect()}
+    assert hit == {1: (400_000 + 60 + 6, 60), 2: (61, 60), 3: (400_000 + 60 + 7, 60)}
+    assert {x.doc_id: x.class_id for x in near_dedup.near_duplicate_classes(df).collect()} == {1: 1, 2: 2, 3: 1}
+    gone = {x.doc_id: (x.n_removed, x.n_spans) for x in repeats.repeated_spans(df).select("doc_id", "n_removed", "n_spans").collect()}
+    assert gone[3] == (len(long.encode()), 1) and gone[2][1] == 1 and gone[1][1] < 5
+    assert {x.doc_id: x.n_email for x in pii.scan(df).collect()} == {1: 1, 2: 0, 3: 1}
+    assert {x.doc_id: x.base_labels for x in licenses.scan(df).collect()} == {1: "mit", 2: "", 3: "mit"}
+    assert {x.doc_id: x.n_chars for x in fingerprints.fingerprints(df).collect()} == {i: len(t) for i, t, _, _ in rows}
+
+
 def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
     rows = mixing.mix(docs).collect()

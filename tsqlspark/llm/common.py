@@ -101,8 +101,36 @@ def chunks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, in
         lo = hi
 
 
+#: Bytes of one text that are scanned at a time; working memory is about 30 times as much.
+SCAN_BYTES = 1 << 22
+
+
 def scan_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts: start bytes, end bytes, 64-bit hashes, and for each text the index of its first word (n + 1)."""
+    """Words of the texts: start bytes, end bytes, 64-bit hashes, and for each text the index of its first word (n + 1).
+
+    A text of more than ``SCAN_BYTES``, alone in its run, is scanned in parts that end between words.
+    """
+    if len(data) <= SCAN_BYTES or len(bounds) > 2:
+        return _scan(data, bounds)
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = min(lo + SCAN_BYTES, len(data))
+        gaps = np.flatnonzero(~_IS_WORD[_LOWER[data[lo:hi]]])
+        if len(gaps):
+            hi = hi if hi == len(data) else lo + int(gaps[-1]) + 1
+        else:
+            # one word fills the part: on to its end
+            while hi < len(data) and not len(gaps):
+                gaps = np.flatnonzero(~_IS_WORD[_LOWER[data[hi : hi + SCAN_BYTES]]])
+                hi = hi + int(gaps[0]) if len(gaps) else min(hi + SCAN_BYTES, len(data))
+        starts, ends, words, _ = _scan(data[lo:hi], np.array([0, hi - lo]))
+        parts.append((starts + lo, ends + lo, words))
+        lo = hi
+    starts, ends, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return starts, ends, words, np.array([0, len(starts)])
+
+
+def _scan(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = _LOWER[data]
     inside = _IS_WORD[low]
     n = len(low)

@@ -72,9 +72,13 @@ def features(data: np.ndarray, bounds: np.ndarray, lang: pa.Array, source: pa.Ar
     size = np.diff(bounds)
     some = np.maximum(size, 1)
     figures = meta[:, LANGS + SOURCES :]
-    for i, table in enumerate(_CLASSES):
-        total = np.concatenate(([0], np.cumsum(table[data])))
-        figures[:, i] = np.sqrt((total[bounds[1:]] - total[bounds[:-1]]) / some)
+    if docs == 1:  # perhaps a very long text
+        seen = np.bincount(data, minlength=256)
+        figures[0, : len(_CLASSES)] = [np.sqrt(seen @ table / some[0]) for table in _CLASSES]
+    else:
+        for i, table in enumerate(_CLASSES):
+            total = np.concatenate(([0], np.cumsum(table[data])))
+            figures[:, i] = np.sqrt((total[bounds[1:]] - total[bounds[:-1]]) / some)
     chars = np.concatenate(([0], np.cumsum(ends - starts)))
     figures[:, 7] = np.log1p(size) / 10
     figures[:, 8] = np.log1p(counts) / 10
